@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontam import op2_decontamination
+from .html_blocks import op9_html_extraction
 from .simhash import op1_simhash
 from .sp_bpe import op5_sentencepiece
+from .suffix_dedup import op10_suffix_dedup
+from .token_store import op8_token_store
 from .toxicity import op6_toxicity
+from .warc import op4_warc
 
 
 def _over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,7 +24,11 @@ def _over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": _over(op1_simhash, "documents"),
     "op2_decontamination": _over(op2_decontamination, "documents", "benchmark"),
+    "op4_warc": _over(op4_warc, "pages"),
     "op5_sentencepiece": _over(op5_sentencepiece, "documents"),
     "op6_toxicity_ftrl": _over(op6_toxicity, "documents", "labels"),
+    "op8_token_store": _over(op8_token_store, "documents"),
+    "op9_html_extraction": _over(op9_html_extraction, "pages"),
+    "op10_suffix_dedup": _over(op10_suffix_dedup, "documents"),
 }
 ORACLE_SQL: dict[str, str] = {}

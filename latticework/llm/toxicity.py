@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc32_mod, id_and_text, ship
 
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
 
 
 def scores(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows with a column ``tox_score`` added; ``rows`` must not have one."""
+    """The rows with a column ``_lw_score`` added; ``rows`` must not have one."""
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -131,18 +132,16 @@ def scores(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_co
                 at = active_slots(text.as_py() or "")
                 at = np.unique(at[live[at]])
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, bias + float(dense[at].sum()))))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "_lw_score"])
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("tox_score", T.DoubleType())]))
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("_lw_score", T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
     scored = scores(id_and_text(documents), train(documents, labels))
-    return scored.select("doc_id", (crc32_mod("doc_id", FOLDS) == 0).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (crc32_mod("doc_id", FOLDS) == 0).alias("held_out"), F.col("_lw_score").alias("score"), (F.col("_lw_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: rows predicted toxic go; all others stay unchanged."""
-    return scores(docs, train(docs, labels)).filter("tox_score < 0.5").select(docs.columns)
+    return scores(docs, train(docs, labels)).filter("_lw_score < 0.5").select(docs.columns)
