@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontam import op2_decontamination
 from .html_blocks import op9_html_extraction
+from .quality_mcd import op3_quality_mcd
 from .simhash import op1_simhash
 from .sp_bpe import op5_sentencepiece
 from .suffix_dedup import op10_suffix_dedup
@@ -24,6 +25,7 @@ def _over(op, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": _over(op1_simhash, "documents"),
     "op2_decontamination": _over(op2_decontamination, "documents", "benchmark"),
+    "op3_quality_mcd": _over(op3_quality_mcd, "documents"),
     "op4_warc": _over(op4_warc, "pages"),
     "op5_sentencepiece": _over(op5_sentencepiece, "documents"),
     "op6_toxicity_ftrl": _over(op6_toxicity, "documents", "labels"),
