@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontam import op2_decontamination
 from .html_blocks import op9_html_extraction
+from .ngram_lm import op7_ngram_lm
 from .quality_mcd import op3_quality_mcd
 from .simhash import op1_simhash
 from .sp_bpe import op5_sentencepiece
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": _over(op4_warc, "pages"),
     "op5_sentencepiece": _over(op5_sentencepiece, "documents"),
     "op6_toxicity_ftrl": _over(op6_toxicity, "documents", "labels"),
+    "op7_ngram_lm": _over(op7_ngram_lm, "documents"),
     "op8_token_store": _over(op8_token_store, "documents"),
     "op9_html_extraction": _over(op9_html_extraction, "pages"),
     "op10_suffix_dedup": _over(op10_suffix_dedup, "documents"),
