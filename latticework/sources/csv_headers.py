@@ -20,8 +20,8 @@ LONG_ATTRIBUTES = ("birthday", "classYear", "creationDate", "joinDate", "length"
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, under their header names."""
-    return spark.read.csv(path, sep="|", header=True, inferSchema=False, enforceSchema=False)
+    """All columns as text, under their header names (Spark numbers names that repeat)."""
+    return spark.read.csv(path, sep="|", header=True, inferSchema=False)
 
 
 def capital(word: str) -> str:
