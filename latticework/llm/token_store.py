@@ -20,6 +20,7 @@ their content's root; a null id comes before all others; an empty table gives no
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -33,7 +34,7 @@ END_ID = 1
 SPAN = 16
 MEAN_BITS = 9  # a cut every 2^9 ids on average
 MIN_IDS, MAX_IDS = 128, 4096
-_KEEP = 250_000
+_KEEP = 800_000  # words that a worker remembers, about 200 bytes each
 _GEAR_SEED = 20_240_607
 
 
@@ -45,7 +46,8 @@ _tokenizers: dict = {}
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space: words are encoded apart, and remembered.
 
-    Only for tokenizers whose pieces never reach over white space; ``checked`` compares with the library."""
+    Only for tokenizers that lower-case, part letters from punctuation and never reach over white space; tests compare whole texts
+    with the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,23 +59,51 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.young) > _KEEP // 2:
             self.old, self.young = self.young, {}
-        split = [t.split() if t.isascii() and not _ODD.intersection(t) else _spaces(t) for t in texts]
+        split = [_spaces(t) if _ODD.search(t) else t.lower().split() for t in texts]
+        get, old, gaps, missing = self.young.get, self.old, [], set()
+        rows = [list(map(get, words)) for words in split]
+        for words, parts in zip(split, rows):
+            own = [i for i, x in enumerate(parts) if x is None]
+            gaps.append(own)
+            missing.update([words[i] for i in own])
+        self._learn(missing)
+        young = self.young
+        for words, parts, own in zip(split, rows, gaps):
+            for i in own:
+                parts[i] = young[words[i]]
+        return [np.frombuffer(b"".join(parts), np.uint32) for parts in rows]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Puts the ids of the words into ``young``: what an older generation knows is carried over, words that end in a full stop or
+        comma are put together, and the rest goes to the library."""
         young, old = self.young, self.old
-        new = set().union(*split).difference(young) if split else set()
-        fresh = []
-        for w in new:
+        fresh, joined = set(), []
+        for w in missing:
             if (got := old.get(w)) is not None:
                 young[w] = got
+            elif _STOPPED.search(w):
+                joined.append(w)
+                for part in (w[:-1], w[-1]):
+                    if part not in young:
+                        if (got := old.get(part)) is not None:
+                            young[part] = got
+                        else:
+                            fresh.add(part)
             else:
-                fresh.append(w)
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo : lo + 20_000]
+                fresh.add(w)
+        words = sorted(fresh)
+        for lo in range(0, len(words), 20_000):
+            part = words[lo : lo + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 young[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([young[w] for w in words]), np.uint32) for words in split]
+        for w in joined:
+            young[w] = young[w[:-1]] + young[w[-1]]
 
 
-_ODD = frozenset("\x1c\x1d\x1e\x1f\x0b\x0c\x85")
+# In texts of Latin letters alone, the tokenizer's own lower-casing can be done first; a full stop or comma that ends a word after
+# a letter is a token of its own.
+_ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
+_STOPPED = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff][.,]\Z")
 
 
 def _spaces(text: str) -> list[str]:
