@@ -1,6 +1,6 @@
 """Toxicity scoring: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the hashed slots of its words, of the first ``STEM`` letters of its longer words, of its
+Features of a text are the hashed slots of its words, of the first ``STEMS`` letters of its longer words, of its
 adjacent word pairs and of its word pairs with one word between them; each distinct slot counts once, however
 long the text. Training keeps the FTRL state (z, n) per slot, so every coordinate has its own rate, and L1 sets
 most weights to exactly zero: what is broadcast is the short list of non-zero weights, at most ``SLOTS`` of them.
@@ -28,21 +28,22 @@ from pyspark.sql import types as T
 from .common import crc32_mod, id_and_text, ship
 
 SLOTS = 1 << 20
-STEM = 5
+STEMS = (4, 5)
 SAMPLE = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 0.5
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 _KEEP = 400_000  # words whose hashes a worker remembers
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_hashes: dict[str, tuple[int, int]] = {}
+_hashes: dict[str, tuple[int, ...]] = {}
 
 
-def _hash(word: str) -> tuple[int, int]:
-    h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    stem = xxhash.xxh3_64_intdigest(b"^" + word[:STEM].encode("utf-8", "surrogatepass")) if len(word) > STEM else h
-    return h, stem
+def _hash(word: str) -> tuple[int, ...]:
+    """Of the word and of its first letters; a word that is not longer than a stem has its own hash there."""
+    digest = xxhash.xxh3_64_intdigest
+    h = digest(word.encode("utf-8", "surrogatepass"))
+    return h, *(digest(b"^" + word[:n].encode("utf-8", "surrogatepass")) if len(word) > n else h for n in STEMS)
 
 
 def active_slots(text: str) -> np.ndarray:
@@ -56,9 +57,9 @@ def active_slots(text: str) -> np.ndarray:
     for w in set(words).difference(known):
         known[w] = _hash(w)
     both = np.array([known[w] for w in words], np.uint64)
-    h, stem = both[:, 0], both[:, 1]
+    h = both[:, 0]
     with np.errstate(over="ignore"):
-        parts = [h * _MIX[0], stem * _MIX[0]]
+        parts = [(both * _MIX[0]).ravel()]
         parts.append(h[:-1] * _MIX[1] + h[1:] * _MIX[2])
         parts.append(h[:-2] * _MIX[2] + h[2:] * _MIX[3])
     return (np.concatenate(parts) >> np.uint64(44)).astype(np.int64)
