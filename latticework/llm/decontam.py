@@ -4,8 +4,9 @@ The index holds the items (small, broadcast behind a size check; beyond the boun
 searched one after the other). The queries are the training passages: windows of 2 * stride words every stride
 words over the whole text, where stride is at least the longest item, so that every item-sized run of words
 lies in one passage. An item's BM25 impacts are divided by the score it gives its own words: a passage's score is
-the weighted share of the item that it covers, and all items at or above ``THRESHOLD`` are retrieved. Before the
-cursors move, a passage is skipped if the sum of its distinct words' largest impacts stays below the threshold.
+the weighted share of the item that it covers, and all items at or above ``THRESHOLD`` are retrieved. Items are ordered so that
+like ones stand together, and cut into at most ``RANGES`` ranges; for all passages of a text at once the sums of their distinct
+words' largest impacts in each range are taken, and cursors move only in ranges whose sum reaches the threshold.
 
 A retrieved item is a leak if the passage's text holds at least ``OVERLAP`` of the five-word shingles of its question
 and of its answer. Items carry no fields: the last sentence is the answer, the rest the question (in an item of one
@@ -32,6 +33,7 @@ from .common import id_and_text, ship
 
 K1, B = 1.2, 0.75
 BLOCK = 16
+RANGES = 64
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
@@ -68,12 +70,14 @@ class ItemIndex:
             q, a = question_and_answer(text or "")
             if q or a:
                 self.items.append((item_id, q, a, shingles(q), shingles(a)))
-        bags = [q + a for _, q, a, _, _ in self.items]
-        mean = sum(map(len, bags)) / max(1, len(bags))
         df: dict[str, int] = {}
-        for bag in bags:
-            for w in set(bag):
+        for _, q, a, _, _ in self.items:
+            for w in {*q, *a}:
                 df[w] = df.get(w, 0) + 1
+        # like items stand together: by their most widespread words
+        self.items.sort(key=lambda x: sorted({*x[1], *x[2]}, key=lambda w: (-df[w], w))[:6])
+        bags = [q + a for _, q, a, _, _ in self.items]
+        mean = sum(map(len, bags)) / max(1, len(bags))
         self.terms = {w: i for i, w in enumerate(sorted(df))}
         self.docs: list[list[int]] = [[] for _ in df]
         self.impacts: list[list[float]] = [[] for _ in df]
@@ -88,13 +92,21 @@ class ItemIndex:
                 self.impacts[self.terms[w]].append(x / own)
         self.block_max = [[max(xs[i : i + BLOCK]) for i in range(0, len(xs), BLOCK)] for xs in self.impacts]
         self.most = np.array([max(xs) for xs in self.impacts] + [0.0])
+        self.size = max(4, -(-len(self.items) // RANGES))
+        #: the largest impact of each term in each range of ``size`` items; a row of zeros stands for all other words
+        self.peaks = np.zeros((len(self.terms) + 1, -(-len(self.items) // self.size)), np.float32)
+        for t, (ds, xs) in enumerate(zip(self.docs, self.impacts)):
+            np.maximum.at(self.peaks[t], np.array(ds) // self.size, np.array(xs, np.float32))
         self.stride = max(STRIDE, max(map(len, bags), default=0))
 
-    def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """Every (item, score) with score >= threshold, by block-max WAND over the distinct ``terms``."""
-        end = len(self.items)
-        lists = [[self.docs[t][0], 0, t] for t in terms]  # current item, place, term
-        found = []
+    def search(self, terms: list[int], threshold: float = THRESHOLD, begin: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """Every (item, score) with score >= threshold among items ``begin`` to ``end``, by block-max WAND over the distinct ``terms``."""
+        end = len(self.items) if end is None else end
+        lists, found = [], []
+        for t in terms:
+            p = bisect_left(self.docs[t], begin)
+            if p < len(self.docs[t]) and self.docs[t][p] < end:
+                lists.append([self.docs[t][p], p, t])  # current item, place, term
         while lists:
             lists.sort()
             bound, pivot = 0.0, -1
@@ -130,7 +142,7 @@ class ItemIndex:
             for k, (d, p, t) in enumerate(lists):
                 if k <= pivot and d < target:
                     p = bisect_left(self.docs[t], target, p)
-                    if p == len(self.docs[t]):
+                    if p == len(self.docs[t]) or self.docs[t][p] >= end:
                         continue
                     d = self.docs[t][p]
                 kept.append([d, p, t])
@@ -148,13 +160,18 @@ class ItemIndex:
         padded = np.full((windows + 1) * s, none, np.int32)
         padded[: len(ids)] = ids
         rows = np.sort(np.concatenate([padded[: windows * s].reshape(windows, s), padded[s:].reshape(windows, s)], axis=1), axis=1)
-        gain = self.most[rows]
-        gain[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
+        fresh = rows < none
+        fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+        per = fresh.sum(axis=1)
+        some = np.flatnonzero(per)
+        if not len(some):
+            return []
+        starts = np.cumsum(per[some]) - per[some]
+        bounds = np.add.reduceat(self.peaks[rows[fresh]], starts, axis=0)
         best: dict[int, tuple] = {}
-        for k in np.flatnonzero(gain.sum(axis=1) >= THRESHOLD - 1e-9).tolist():
-            terms = np.unique(rows[k]).tolist()
-            terms = terms[:-1] if terms[-1] == none else terms
-            hits = self.search(terms)
+        at, ranges = np.nonzero(bounds >= THRESHOLD - 1e-5)
+        for k, part in zip(some[at].tolist(), ranges.tolist()):
+            hits = self.search(rows[k][fresh[k]].tolist(), THRESHOLD, part * self.size, min(len(self.items), (part + 1) * self.size))
             if not hits:
                 continue
             here = words[k * s : (k + 2) * s]
