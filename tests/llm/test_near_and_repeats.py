@@ -178,3 +178,42 @@ def test_benchmark_in_shards_gives_the_same(spark, monkeypatch):
     whole = {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()}
     monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
     assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()} == whole == {(k, k) for k in range(20)}
+
+
+def plain_copies(items):
+    """Smallest id reachable over pairs of texts with a Jaccard similarity of five-word shingles of 0.8 or more."""
+    sets = {}
+    for i, t in items:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), []).append(i)
+    label = {s: min(v) for s, v in sets.items()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(a & b) >= 4 * len(a | b)]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    return {i: label[s] for s, v in sets.items() for i in v}
+
+
+def test_stage_removes_near_copies_beyond_three_bits(spark):
+    r = random.Random(11)
+    centre = words_text(r, 200, 5000).split()
+    texts = [(k, words_text(r, r.randint(1, 300))) for k in range(10)] + [(10, ""), (11, None), (12, "a b"), (13, "A  b"), (14, " ".join(centre))]
+    for k in range(15, 75):  # about one to seven words changed: similarities on both sides of 0.8
+        w = list(centre)
+        for _ in range(r.randint(1, 7)):
+            w[r.randrange(200)] = f"x{r.random()}"
+        texts.append((k, " ".join(w)))
+    want = plain_copies(texts)
+    assert {x.doc_id for x in simhash.keep_one_of_each(table(spark, texts)).collect()} == {i for i in want if want[i] == i}
+    far = [i for i, t in texts[15:] if (plain_fingerprint(t) ^ plain_fingerprint(texts[14][1])).bit_count() > 3 and want[i] == 14]
+    assert far and {want[i] for i, _ in texts[15:]} != {14}
+
+
+def test_stage_finds_all_overlaps_of_a_table(spark, data):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want = plain_copies(rows)
+    assert {x.doc_id for x in simhash.keep_one_of_each(table(spark, rows)).collect()} == {i for i in want if want[i] == i}
