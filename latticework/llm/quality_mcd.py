@@ -10,8 +10,8 @@ all sums are exact and the result does not depend on how rows are dealt; order s
 number of distinct integer values, aggregated before the shuffle, so a source with a third of all rows is no hot key. A floor
 is added to each variance: many statistics are zero in nearly every text, and a zero spread would reject the rest.
 
-Sources with fewer than ``LEAST_ROWS`` judged rows are pooled by language; a pool still below that bound is not judged, and its rows
-are kept unless the base rule fails.
+Sources with fewer than ``LEAST_ROWS`` judged rows are judged by an estimate over all rows of their language, and languages below that
+bound by one over the whole table, so every row that passes the base rule is judged.
 
 Defined results: null, empty and word-less texts have all counts zero and fail the base rule; null language or source is a group of
 its own; repeated rows each get a row and count as often as they occur; null ids are judged like others; an empty table gives
@@ -134,7 +134,7 @@ def mcd(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, the five counts, base_failed, distance (null where not judged) and kept, one row for each row of ``docs``."""
+    """doc_id, the five counts, base_failed, distance (null where the base rule fails) and kept, one row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "quality")
     own = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -143,14 +143,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = text_statistics(own, "doc_id", "lang", "source").withColumn("base_failed", base_failed())
     stats = scratch.put(stats.select("*", *vector()), "statistics")
     sizes = stats.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    pools = sizes.withColumn("g", F.when(F.col("rows") >= LEAST_ROWS, F.col("source")).otherwise(F.concat(F.lit("pool "), "lang")))
-    groups = scratch.put(pools.select("lang", "source", "g", "rows"), "groups")
-    large = scratch.put(groups.groupBy("g").agg(F.sum("rows").alias("n")).filter(F.col("n") >= LEAST_ROWS).select("g"), "large")
-    names = scratch.put(groups.join(large, "g").select("source", "g"), "names")
-    judged = scratch.put(stats.filter("not base_failed").join(names, "source").select("g", *(f"x{i}" for i in range(P))), "judged")
+    sizes = scratch.put(sizes, "sizes")
+    tongues = sizes.groupBy("lang").agg(F.sum("rows").alias("lang_rows"))
+    pool = F.when(F.col("lang_rows") >= LEAST_ROWS, F.concat(F.lit("pool "), "lang")).otherwise(F.lit("all"))
+    names = sizes.join(tongues, "lang").select("lang", "source", F.when(F.col("rows") >= LEAST_ROWS, F.col("source")).otherwise(pool).alias("g"))
+    names = scratch.put(names, "names")
+    # a row counts in its source's own estimate and in those of the pools that some small source asks for
+    own_group = names.select("source", F.col("g").alias("to")).filter("`to` = source")
+    of_lang = names.join(names.filter("g = concat('pool ', lang)").select("lang").distinct(), "lang", "left_semi").select("source", F.concat(F.lit("pool "), "lang").alias("to"))
+    of_all = names.select("source").crossJoin(names.filter("g = 'all'").select(F.col("g").alias("to")).distinct())
+    counts_in = scratch.put(own_group.unionByName(of_lang).unionByName(of_all).groupBy("source").agg(F.collect_list("to").alias("to")), "memberships")
+    vectors = stats.filter("not base_failed").select("source", *(f"x{i}" for i in range(P)))
+    judged = scratch.put(vectors.join(counts_in, "source").select(F.explode("to").alias("g"), *(f"x{i}" for i in range(P))), "judged")
     est = mcd(judged, scratch)
     scratch.free(judged)
-    finals = scratch.put(names.join(est, "g").drop("g"), "finals")
+    finals = scratch.put(names.join(est, "g").drop("g", "lang"), "finals")
     out = stats.join(finals, "source", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -176,3 +176,15 @@ def test_quality_runs_no_python(spark, data, capsys):
     docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("text", quality_mcd.F.coalesce("text", quality_mcd.F.lit("")))
     quality_mcd.text_statistics(docs, "doc_id").explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def test_small_sources_and_languages_are_judged(spark):
+    r = random.Random(8)
+    def clean():
+        return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7))) for _ in range(r.randint(60, 200)))
+    bad = lambda: " ".join(f"{w}$$$" for w in clean().split())
+    rows = [(k, clean(), "en", "big") for k in range(120)] + [(k, clean(), "en", "tail") for k in range(120, 140)] + [(k, clean(), "fr", "tail") for k in range(140, 160)]
+    rows += [(200, bad(), "en", "tail"), (201, bad(), "fr", "tail"), (202, bad(), None, None), (203, clean(), None, None), (204, "short", "fr", "tail")]
+    got = {x.doc_id: x for x in quality_mcd.op3_quality_mcd(spark, spark.createDataFrame([(*x, 0, "", 0, 0) for x in rows], DOCS)).collect()}
+    assert len(got) == len(rows) and all((x.distance is None) == x.base_failed for x in got.values())
+    assert {k for k, x in got.items() if not x.kept} == {200, 201, 202, 204}
