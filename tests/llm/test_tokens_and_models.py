@@ -225,3 +225,9 @@ def test_shards_have_partitions_of_their_own(spark):
         places = ngram_lm._places(n)
         df = spark.createDataFrame([(int(p),) for p in places], "p int").select(F.pmod(F.hash("p"), F.lit(n)).alias("k"))
         assert sorted(r.k for r in df.collect()) == list(range(n))
+
+
+def test_sums_of_very_long_texts_keep_all_bits():
+    at, sums = np.array([0, 3, 9]), np.array([5, (1 << 32) + 7, 1 << 45])
+    got = ngram_lm._untwo(ngram_lm._two(at, sums))
+    assert (got[0] == at).all() and (got[1] == sums).all()
