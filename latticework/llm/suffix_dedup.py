@@ -1,12 +1,11 @@
-"""Repeated passages across documents, by sparse suffix arrays.
+"""Repeated passages across documents, by minimisers and grouped window hashes; no suffixes are sorted.
 
 A text's suffixes are kept only where its content says so: of every ``WINDOW`` consecutive runs of ``K`` words the one
 with the smallest hash marks a position (a minimiser). Any passage of ``LEAST`` = K + WINDOW - 1 words selects the same
-position wherever it stands, so equal passages meet. Suffixes are ordered by a 64-bit key of their first K words; those whose
-key stands in one document alone fall out there, which is nearly all. The rest are extended left and right:
-each window of LEAST words around such a position gets the key of its words, windows are ordered by that key, equal
-neighbours are matches, and runs of matching windows with the same partner at the same distance are joined into
-the longest match. Only equality of the words counts, so the order of keys may stand in for the order of texts.
+position wherever it stands, so equal passages meet. Positions are grouped by a 64-bit key of their first K words; those whose
+key stands in one document alone fall out there, which is nearly all. Around the rest each window of LEAST words gets the key of
+its words, windows are grouped by that key, and runs of matching windows with the same partner at the same distance are joined
+into the longest match. Only equality of the words counts.
 
 Of each class of equal windows the first occurrence (smallest id, then place) is the representative; all
 others point to it, so copies are never expanded into pairs. Both steps aggregate the ends of a class before the
