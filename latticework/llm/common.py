@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Hashable, Iterable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +23,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the executors once for each context, so that Python workers import the same code."""
+    """Gives this package to the executors once for each context, so that Python workers import the same code; bounds their batches."""
     sc = spark.sparkContext
+    small_batches(spark)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
@@ -77,6 +81,80 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Limits of the batches that go to Python workers, where the session has Spark's own (10,000 rows, 64 MB): a worker holds one batch at a time.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, plain, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", plain) == plain:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(own))
+
+
+class WorkerMemory:
+    """What a Python worker remembers between tasks, by key: two generations of about ``limit`` bytes together.
+
+    Workers are reused by later stages, so only the operator that runs may hold such a memory: ``enter``, called when a task
+    starts, drops that of any other operator. What is dropped is only computed again."""
+
+    holder: WorkerMemory | None = None
+
+    def __init__(self, limit: int, overhead: int, leave: Callable[[], None] = lambda: None):
+        """``overhead``: bytes of an entry beside its key's length; ``leave``: called when another operator takes over."""
+        self.limit, self.overhead, self.leave = limit, overhead, leave
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.bytes = 0
+
+    def enter(self) -> WorkerMemory:
+        if WorkerMemory.holder is not self:
+            if WorkerMemory.holder is not None:
+                WorkerMemory.holder.clear()
+                WorkerMemory.holder.leave()
+                give_back()
+            WorkerMemory.holder = self
+        return self
+
+    def turn(self) -> None:
+        """To be called between texts, or parts of ``PART`` words: starts a generation when the present one has its share."""
+        if self.bytes > self.limit // 2:
+            self.old, self.young, self.bytes = self.young, {}, 0
+
+    def put(self, key: Hashable, value: object) -> None:
+        self.young[key] = value
+        self.bytes += len(key) + self.overhead
+
+    def add(self, found: dict) -> None:
+        self.young.update(found)
+        self.bytes += sum(map(len, found)) + self.overhead * len(found)
+
+    def learn(self, keys: Iterable, make: Callable) -> None:
+        """Puts keys that the present generation lacks into it; what the older one knows is carried over."""
+        for key in keys:
+            got = self.old.get(key)
+            self.put(key, make(key) if got is None else got)
+
+
+#: A text's words are looked up in parts of so many, so that one very long text does not outgrow the memory.
+PART = 100_000
+
+
+def parts_of(words: list) -> Iterable[list]:
+    return (words,) if len(words) <= PART else (words[i : i + PART] for i in range(0, len(words), PART))
+
+
+def give_back() -> None:
+    """Returns freed memory of the allocators to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns under fixed names; a null text becomes the empty one."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

@@ -29,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, ship
+from .common import WorkerMemory, id_and_text, parts_of, ship
 
 MARK = "▁"
-_KEEP = 250_000  # units, and pairs, that a worker remembers
+_KEEP = 80 << 20  # bytes of units that a worker remembers
+_PAIRS = 100_000  # pairs of tokens that it remembers
 _SHORT = 32
 _NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+_codecs: dict[str, Codec] = {}
+
+
 def read_model(data: bytes) -> dict:
     """Pieces (text, score, kind) and the settings used here, from the model's protocol-buffer bytes."""
 
@@ -111,8 +115,7 @@ class Codec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.units: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
+        self.memory = WorkerMemory(_KEEP, 380, _codecs.clear)  # unit -> its ids as text, their number, its surface
 
     def merge(self, text: str) -> list[str]:
         """The definition: merge adjacent symbols by best score, then leftmost."""
@@ -161,7 +164,7 @@ class Codec:
     def compatible(self, a: str, b: str) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) > _KEEP:
+            if len(self.pairs) > _PAIRS:
                 self.pairs.clear()
             known = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return known
@@ -214,7 +217,10 @@ class Codec:
     def encode_unit(self, unit: str) -> list[int]:
         if not (self.direct_only or self.odd.search(unit)):
             ids = self.ids
-            return [ids[t] for t in self.backtrack(unit) or self.merge(unit)]
+            tokens = self.backtrack(unit)
+            if tokens is None:  # every character is a piece and the merged form is always compatible, so there is a way
+                raise ValueError(f"no way through {unit!r}")
+            return [ids[t] for t in tokens]
         out: list[int] = []
         run: list[str] = []
 
@@ -257,18 +263,16 @@ class Codec:
         return "".join(parts).replace(MARK, " ")
 
     def _known(self, unit: str) -> tuple[str, int, str]:
-        if len(self.units) > _KEEP // 2:  # two generations: what recurs is carried over
-            self.older, self.units = self.units, {}
-        got = self.older.get(unit)
+        got = self.memory.young.get(unit) or self.memory.old.get(unit)
         if got is None:
             if unit[-2:] not in self.inner and len(unit) > 1 and unit[-1] in self.chars and unit[-2] in self.chars:
                 # no piece holds these two characters side by side, so no merge joins them: a word and its punctuation
-                stem, end = (self.units.get(u) or self._known(u) for u in (unit[:-1], unit[-1]))
+                stem, end = self._known(unit[:-1]), self._known(unit[-1])
                 got = (f"{stem[0]},{end[0]}", stem[1] + end[1], stem[2] + end[2])
             else:
                 ids = self.encode_unit(unit)
                 got = (",".join(map(str, ids)), len(ids), self.surface(ids))
-        self.units[unit] = got
+        self.memory.put(unit, got)
         return got
 
     def split(self, text: str) -> list[str]:
@@ -283,8 +287,11 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha-256 of the ids joined by commas, sha-256 of the decoded text."""
-        known, new = self.units.get, self._known
-        got = [known(u) or new(u) for u in self.split(text)]
+        got: list[tuple[str, int, str]] = []
+        for units in parts_of(self.split(text)):
+            self.memory.turn()
+            known, new = self.memory.young.get, self._known
+            got += [known(u) or new(u) for u in units]
         decoded = "".join([g[2] for g in got])
         if decoded.startswith(" "):  # the dummy prefix
             decoded = decoded[1:]
@@ -292,14 +299,13 @@ class Codec:
         return sum([g[1] for g in got]), sha(",".join([g[0] for g in got]).encode()).hexdigest(), sha(decoded.encode()).hexdigest()
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(data: bytes) -> Codec:
     """One codec for each model in each worker process, so that what it remembers outlives a task."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _codecs:
+        _codecs.clear()
         _codecs[key] = Codec(read_model(data))
+    _codecs[key].memory.enter()
     return _codecs[key]
 
 

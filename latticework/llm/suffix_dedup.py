@@ -28,26 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship
+from .common import Scratch, WorkerMemory, parts_of, ship
 
 K, WINDOW = 25, 26
 LEAST = K + WINDOW - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_KEEP = 300_000
-_young: dict[bytes, int] = {}
-_old: dict[bytes, int] = {}
+_memory = WorkerMemory(48 << 20, 190)  # words and their hashes
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _word_keys(words: list[bytes]) -> np.ndarray:
-    global _young, _old
-    if len(_young) > _KEEP:
-        _old, _young = _young, {}
-    young, old, digest = _young, _old, xxhash.xxh3_64_intdigest
-    for w in set(words).difference(young):
-        young[w] = old.get(w) or digest(w)
-    return np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
+    out = np.empty(len(words), np.uint64)
+    at = 0
+    for part in parts_of(words):
+        _memory.turn()
+        _memory.learn(set(part).difference(_memory.young), xxhash.xxh3_64_intdigest)
+        out[at : at + len(part)] = np.fromiter(map(_memory.young.__getitem__, part), np.uint64, len(part))
+        at += len(part)
+    return out
 
 
 def _up_to(n: int) -> list[np.ndarray]:
@@ -80,6 +79,7 @@ def minimisers(keys: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches):
+    _memory.enter()
     for b in batches:
         keys, ids, marks, places = [], [], [], []
         for doc_id, mark, text in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column("text").cast(pa.binary())):
@@ -101,6 +101,7 @@ def _suffixes(batches):
 
 def _extended(batches):
     """The keys of all windows whose minimiser is one of the row's places."""
+    _memory.enter()
     for b in batches:
         keys, ids, marks, places = [], [], [], []
         for doc_id, mark, text, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark")), b.column("text").cast(pa.binary()), b.column("places")):

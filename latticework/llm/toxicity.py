@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, id_and_text, ship
+from .common import WorkerMemory, crc32_mod, id_and_text, parts_of, ship
 
 SLOTS = 1 << 20
 STEMS = (4, 5)
@@ -34,9 +34,9 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
 FOLDS = 5
 _WORD = re.compile(r"\w+")
-_KEEP = 400_000  # words whose hashes a worker remembers
+_KEEP = 48 << 20  # bytes of words and their hashes that a worker remembers
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_hashes: dict[str, tuple[int, ...]] = {}
+_memory = WorkerMemory(_KEEP, 320)
 
 
 def _hash(word: str) -> tuple[int, ...]:
@@ -46,17 +46,19 @@ def _hash(word: str) -> tuple[int, ...]:
     return h, *(digest(b"^" + word[:n].encode("utf-8", "surrogatepass")) if len(word) > n else h for n in STEMS)
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    _memory.turn()
+    known = _memory.young
+    _memory.learn(set(words).difference(known), _hash)
+    return np.array([known[w] for w in words], np.uint64)
+
+
 def active_slots(text: str) -> np.ndarray:
     """The slots of a text's features, with repeats."""
     words = _WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.int64)
-    known = _hashes
-    if len(known) > _KEEP:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = _hash(w)
-    both = np.array([known[w] for w in words], np.uint64)
+    both = np.concatenate([_word_hashes(part) for part in parts_of(words)])
     h = both[:, 0]
     with np.errstate(over="ignore"):
         parts = [(both * _MIX[0]).ravel()]
@@ -88,6 +90,7 @@ def ftrl_train(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) ->
 def _train(batches):
     """One task over the bounded sample; yields (slot, weight), with the bias at slot -1."""
     rows = []
+    _memory.enter()
     for b in batches:
         for doc_id, text, y in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             rows.append((xxhash.xxh3_64_intdigest(str(doc_id)), np.unique(active_slots(text)).astype(np.int32), int(y)))
@@ -123,6 +126,7 @@ def scores(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_co
     place = rows.columns.index(text_col)
 
     def score(batches):
+        _memory.enter()
         bias, slots, weights = shared.value
         dense = np.zeros(SLOTS)
         dense[slots] = weights
