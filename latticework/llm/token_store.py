@@ -3,11 +3,12 @@
 Each document's ids (its tokens, then the end id) are cut into chunks where a rolling hash over the last ``SPAN`` ids says so,
 so equal runs of ids give equal chunks wherever they stand. A chunk is addressed by the BLAKE2b digest of its bytes
 and stored once; a document is a recipe: its chunks' digests in order, its place in the whole id stream, and the
-Merkle root over the digests. Reading recomputes every chunk's digest and every root.
+Merkle root over the digests. Reading recomputes every chunk's digest, every root and the whole manifest, and raises an error
+where a chunk, a recipe or a row of the manifest is damaged or lost.
 
 Layout under one folder: ``pieces/kind=chunk`` (digest, payload: the id width in bytes, 2 or 4, then little-endian ids), ``recipes/``
-(in ascending order of id: doc_id, copy, start, n_tokens, digests, sizes, root) and ``manifest/`` (for each range of
-recipes the Merkle root over their roots).
+(in ascending order of id: doc_id, copy, start, n_tokens, digests, sizes, root) and ``manifest/`` (a Merkle tree over the recipes' roots,
+up to one root for the store).
 
 Writing takes one pass over the texts and one shuffle, of chunks and recipes together: each task sends a chunk
 once, equal chunks meet in digest order, and of equal neighbours one is kept. CRC-32 values of documents are combined
@@ -25,96 +26,147 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text, ship
+from .common import PART, Scratch, WorkerMemory, id_and_text, parts_of, ship
 
 END_ID = 1
 SPAN = 16
 MEAN_BITS = 9  # a cut every 2^9 ids on average
 MIN_IDS, MAX_IDS = 128, 4096
-_KEEP = 800_000  # words that a worker remembers, about 200 bytes each
+_KEEP = 128 << 20  # bytes of words and their ids that a worker remembers
 _GEAR_SEED = 20_240_607
 
 
 # ---- tokens
 
-_tokenizers: dict = {}
+_encoders: dict = {}
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer that drops white space: words are encoded apart, and remembered.
-
-    Only for tokenizers that lower-case, part letters from punctuation and never reach over white space; tests compare whole texts
-    with the library."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.young) > _KEEP // 2:
-            self.old, self.young = self.young, {}
-        split = [_spaces(t) if _ODD.search(t) else t.lower().split() for t in texts]
-        get, old, gaps, missing = self.young.get, self.old, [], set()
-        rows = [list(map(get, words)) for words in split]
-        for words, parts in zip(split, rows):
-            own = [i for i, x in enumerate(parts) if x is None]
-            gaps.append(own)
-            missing.update([words[i] for i in own])
-        self._learn(missing)
-        young = self.young
-        for words, parts, own in zip(split, rows, gaps):
-            for i in own:
-                parts[i] = young[words[i]]
-        return [np.frombuffer(b"".join(parts), np.uint32) for parts in rows]
-
-    def _learn(self, missing: set[str]) -> None:
-        """Puts the ids of the words into ``young``: what an older generation knows is carried over, words that end in a full stop or
-        comma are put together, and the rest goes to the library."""
-        young, old = self.young, self.old
-        fresh, joined = set(), []
-        for w in missing:
-            if (got := old.get(w)) is not None:
-                young[w] = got
-            elif _STOPPED.search(w):
-                joined.append(w)
-                for part in (w[:-1], w[-1]):
-                    if part not in young:
-                        if (got := old.get(part)) is not None:
-                            young[part] = got
-                        else:
-                            fresh.add(part)
+    """Encodes texts with a tokenizer that drops white space: the distinct words of a batch are encoded apart, and remembered.
+
+    Only for tokenizers that lower-case, part letters from punctuation, never reach over white space and mark a word's last
+    token; tests compare whole texts with the library."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_str(data.decode())
+        # words that are known to be plain need the model alone: no normaliser, and bytes are put as its characters here
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x250)}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith(_WORD_END)
+        self.memory = WorkerMemory(_KEEP, 170, _encoders.clear)  # word -> its ids' bytes
+
+    def encode_batch(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after the other, each text's with ``end_id`` behind them, and the end of each text among them."""
+        split = pc.split_pattern(pa.array([spaced(t) for t in texts], pa.large_string()), " ")
+        words = split.values
+        coded = pc.dictionary_encode(words)
+        distinct = coded.dictionary.to_pylist()
+        loads = self._ids_of(distinct)
+        size = np.fromiter(map(len, loads), np.int64, len(loads)) // 4
+        at = coded.indices.to_numpy()
+        # the empty strings that the split leaves between blanks have no ids
+        lengths = size[at] if len(at) else np.empty(0, np.int64)
+        pool, first = np.frombuffer(b"".join(loads), np.uint32), np.cumsum(size) - size
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        ends = before[split.offsets.to_numpy()[1:]]
+        spread = np.arange(before[-1]) + np.repeat((first[at] if len(at) else lengths) - before[:-1], lengths)
+        ids = pool[spread]
+        return (ids, ends) if end_id is None else (np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1))
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for part in parts_of(words):
+            self.memory.turn()
+            young = self.memory.young
+            self._learn([w for w in part if w not in young])
+            out += map(young.__getitem__, part)
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words go into the memory: what the older generation knows is carried over, the library encodes the rest. Words of
+        letters alone are encoded in one string and parted at the tokens that end a word; letters and the signs behind them are put
+        together; all others are encoded one by one."""
+        young, old, add = self.memory.young, self.memory.old, self.memory.add
+        add({w: old[w] for w in words if w in old})
+        fresh = [w for w in words if w not in young]
+        plain = set(filter(_plain, fresh))
+        other, pairs = set(), []
+        for w in fresh:
+            if w in plain:
+                continue
+            stem = w.rstrip(_SIGNS)
+            if stem != w and _plain(stem):
+                pairs.append((w, stem))
+                plain.add(stem)
+                other.add(w[len(stem) :])
             else:
-                fresh.add(w)
-        words = sorted(fresh)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[w] = np.array(e.ids, np.uint32).tobytes()
-        for w in joined:
-            young[w] = young[w[:-1]] + young[w[-1]]
-
-
-# In texts of Latin letters alone, the tokenizer's own lower-casing can be done first; a full stop or comma that ends a word after
-# a letter is a token of its own.
+                other.add(w)
+        joined = sorted((w for w in plain if w not in young), key=str.isascii)
+        parts = [joined[lo : lo + _JOINED] for lo in range(0, len(joined), _JOINED)]
+        texts = [" ".join(part) for part in parts]
+        found = self.bare.encode_batch_fast([t if t.isascii() else t.translate(self.bytes) for t in texts], add_special_tokens=False)
+        for part, e in zip(parts, found):
+            ids = np.array(e.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                other.update(part)
+                continue
+            data = ids.tobytes()
+            add({w: data[i:j] for w, i, j in zip(part, [0, *ends], ends)})
+        rest = [w for w in other if w not in young]
+        add({w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))})
+        add({w: young[stem] + young[w[len(stem) :]] for w, stem in pairs})
+
+
+_WORD_END = "</w>"
+_JOINED = 500
+_SIGNS = "!\"#$%&()*+-/:;<=>?@[\\]^_`{|}~.,"  # of ASCII all but the apostrophe, which starts endings of its own
+# In texts of Latin letters alone the tokenizer's own lower-casing and splitting can be done first.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]")
-_STOPPED = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff][.,]\Z")
-
-
-def _spaces(text: str) -> list[str]:
-    """Split at the four white-space characters that all parties agree on."""
-    return [w for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if w]
-
-
-def encoder(path: str) -> WordEncoder:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordEncoder(path)
-    return _tokenizers[path]
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
+_INSIDE = bytes(c for c in _PLAIN if chr(c).isalnum() or chr(c) in " .,")
+_BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
+
+
+def _plain(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or not _ODD.search(word)) and word.lower() == word
+
+
+def spaced(text: str) -> str:
+    """The text with blanks alone between its words: the four white-space characters that all parties agree on become blanks, and
+    whatever else may be one stays inside a word, for the library to decide. Where it is certain, letters are lower-cased, and
+    a full stop or comma that stands beside no other sign, a token of its own, becomes a word of its own."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    try:
+        raw = text.encode("latin-1")
+        odd = raw.translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        raw, odd = None, _ODD.search(text)
+    if odd:
+        return text
+    low = text.lower()
+    certain = raw is not None and not raw.translate(None, _INSIDE) and not any(x in low for x in ("..", ",,", ".,", ",."))
+    return low.replace(".", " . ").replace(",", " , ") if certain or not _BESIDE.search(low) else low
+
+
+def encoder(data: bytes) -> WordEncoder:
+    """One encoder for a tokenizer's file in each worker process, so that what it remembers outlives a task."""
+    key = hashlib.sha256(data).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(data)
+    _encoders[key].memory.enter()
+    return _encoders[key]
 
 
 # ---- chunks
@@ -122,18 +174,22 @@ def encoder(path: str) -> WordEncoder:
 _gear = np.random.default_rng(_GEAR_SEED).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: after an id whose rolling hash has its top bits zero, within the size limits."""
-    n = len(ids)
-    if n <= MIN_IDS:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind an id whose rolling hash has its top bits zero. A hash reaches over SPAN ids, fewer than MIN_IDS, so ids that
+    stand before a document's own do not matter to it."""
+    if not len(ids):
+        return np.empty(0, np.int64)
     g = _gear[(ids & 0xFFFF) ^ (ids >> 16)]
     h = g.copy()
     for k in range(1, SPAN):
         h[k:] += g[:-k] << np.uint64(k)
-    marked = np.flatnonzero((h >> np.uint64(SPAN - 1)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(SPAN - 1)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
+
+
+def cuts(n: int, marked: list[int]) -> list[int]:
+    """Ends of the chunks of n ids: at marks, within the size limits."""
     out, start = [], 0
-    for at in marked.tolist():
+    for at in marked:
         while at - start > MAX_IDS:
             start += MAX_IDS
             out.append(start)
@@ -214,29 +270,46 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
 _PIECES = "kind string, key binary, doc_id long, payload binary, sizes array<int>"
 
 
-def _pieces_of(path: str, end_id: int):
+_GROUP = 4 << 20  # characters that are encoded at once
+
+
+def _groups(ids: list, texts: list[str]):
+    lo = size = 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size > _GROUP:
+            yield ids[lo : k + 1], texts[lo : k + 1]
+            lo, size = k + 1, 0
+    if lo < len(texts):
+        yield ids[lo:], texts[lo:]
+
+
+def _pieces_of(shared, end_id: int):
     def run(batches):
-        enc, sent = encoder(path), set()
+        enc, sent = encoder(shared.value), set()
         for b in batches:
-            ids_of, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                kind, keys, ids, loads, sizes = [], [], [], [], []
-                for doc_id, found in zip(ids_of[lo : lo + 256], enc.encode_batch(texts[lo : lo + 256])):
-                    stream = np.append(found, np.uint32(end_id))
-                    digests, own, start = [], [], 0
-                    for at in cuts(stream):
-                        payload = pack(stream[start:at])
+            for doc_ids, texts in _groups(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                kind, keys, owners, loads, sizes = [], [], [], [], []
+                stream, ends = enc.encode_batch(texts, end_id)
+                marked, ends = marks(stream), ends.tolist()
+                of = np.searchsorted(marked, ends, "right").tolist()
+                begin = low = 0
+                for doc_id, end, high in zip(doc_ids, ends, of):
+                    digests, own, start = [], [], begin
+                    for at in cuts(end - begin, (marked[low:high] - begin).tolist()):
+                        payload = pack(stream[start : begin + at])
                         digest = address(payload)
                         digests.append(digest)
-                        own.append(at - start)
-                        start = at
+                        own.append(begin + at - start)
+                        start = begin + at
                         if digest not in sent:
-                            if len(sent) > 1_000_000:  # only a saving: a chunk that is sent again meets its equal later
+                            if len(sent) > 200_000:  # only a saving: a chunk that is sent again meets its equal later
                                 sent.clear()
                             sent.add(digest)
-                            kind.append("chunk"), keys.append(digest), ids.append(None), loads.append(payload), sizes.append(None)
-                    kind.append("recipe"), keys.append(merkle_root(digests)), ids.append(doc_id), loads.append(b"".join(digests)), sizes.append(own)
-                cols = [pa.array(kind, pa.string()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(loads, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))]
+                            kind.append("chunk"), keys.append(digest), owners.append(None), loads.append(payload), sizes.append(None)
+                    kind.append("recipe"), keys.append(merkle_root(digests)), owners.append(doc_id), loads.append(b"".join(digests)), sizes.append(own)
+                    begin, low = end, high
+                cols = [pa.array(kind, pa.string()), pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(loads, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PIECES.split(", ")])
 
     return run
@@ -254,17 +327,45 @@ def _without_equal_neighbours(batches):
         yield b.filter(pa.array(stay, pa.bool_()))
 
 
-def _manifest(batches):
+FAN = 1024  # entries under one node of the manifest
+
+
+def _nodes(batches):
     for b in batches:
-        roots = b.column("roots").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(map(len, roots), pa.int64()), pa.array([merkle_root([bytes(r["root"]) for r in sorted(x, key=lambda r: r["start"])]) for x in roots], pa.binary())], ["part", "n_recipes", "root"])
+        roots = [merkle_root([bytes(r["root"]) for r in sorted(x, key=lambda r: r["at"])]) for x in b.column("roots").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("level", "part", "node", "n_recipes")), pa.array(roots, pa.binary())], ["level", "part", "node", "n_recipes", "root"])
+
+
+_NODE = "level int, part int, node long, n_recipes long, root binary"
+
+
+def _tree(recipes: DataFrame) -> DataFrame:
+    """Merkle nodes over ``recipes(part, copy, root)``: at level 0 one for each FAN recipes of a part, in their order, at the next one for
+    each FAN nodes, until a part has one; at last one for the store. No list is longer than FAN but the last, one root for each part."""
+    most = recipes.agg(F.max("copy")).first()[0] or 0
+    below = recipes.select("part", (F.col("copy").cast("long") - 1).alias("at"), F.lit(1).cast("long").alias("n_recipes"), "root")
+    level, out = 0, None
+    while True:
+        node = (F.col("at") / FAN).cast("long")
+        groups = below.groupBy("part", node.alias("node")).agg(F.sum("n_recipes").alias("n_recipes"), F.collect_list(F.struct("at", "root")).alias("roots"))
+        made = groups.select(F.lit(level).alias("level"), "part", "node", "n_recipes", "roots").mapInArrow(_nodes, _NODE)
+        out = made if out is None else out.unionByName(made)
+        below = made.select("part", F.col("node").alias("at"), "n_recipes", "root")
+        most = -(-most // FAN)
+        level += 1
+        if most <= 1:
+            break
+    top = below.agg(F.sum("n_recipes").alias("n_recipes"), F.collect_list(F.struct(F.col("part").alias("at"), "root")).alias("roots")).filter("n_recipes is not null")
+    return out.unionByName(top.select(F.lit(level).alias("level"), F.lit(-1).alias("part"), F.lit(0).cast("long").alias("node"), "n_recipes", "roots").mapInArrow(_nodes, _NODE))
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, scratch: Scratch, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes, cuts and stores all rows of ``docs`` under ``path``."""
     spark = docs.sparkSession
     ship(spark)
-    pieces = id_and_text(docs, id_col, text_col).mapInArrow(_pieces_of(tokenizer_path, end_id), _PIECES)
+    with open(tokenizer_path, "rb") as f:  # a file of fixed size, on the driver
+        shared = spark.sparkContext.broadcast(f.read())
+    pieces = id_and_text(docs, id_col, text_col).mapInArrow(_pieces_of(shared, end_id), _PIECES)
     # recipes are dealt by id and root, so that many copies of one document do not meet in one task
     place = F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key"))
     met = pieces.withColumn("place", place).repartition("place").sortWithinPartitions("kind", "key").drop("place")
@@ -282,7 +383,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, scratch: Scratc
     rows.write.option("compression", "zstd").parquet(f"{path}/recipes")
     scratch.free(dealt)
     made = spark.read.schema(rows.schema).parquet(f"{path}/recipes")
-    made.groupBy("part").agg(F.collect_list(F.struct("start", "root")).alias("roots")).mapInArrow(_manifest, "part int, n_recipes long, root binary").write.parquet(f"{path}/manifest")
+    _tree(made.select("part", "copy", "root")).write.parquet(f"{path}/manifest")
     scratch.remove(f"{raw}/kind=recipe")
 
 
@@ -324,6 +425,8 @@ def _documents(batches):
         for n, chunks in zip(b.column("n_tokens").to_pylist(), b.column("chunks").to_pylist()):
             crc = size = 0
             for c in sorted(chunks, key=lambda c: c["seq"]):
+                if c["n"] is None:
+                    raise ValueError("a recipe names a chunk that is not in the store")
                 crc = crc_join(crc, c["crc"], 4 * c["n"])
                 size += c["n"]
             if size != n:
@@ -340,26 +443,51 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key binary, payload binary, kind string").parquet(f"{path}/pieces").filter("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
 
 
+def verify_manifest(spark: SparkSession, path: str) -> None:
+    """Raises an error unless the manifest is what the stored recipes give."""
+    ship(spark)
+    stored = spark.read.schema(_NODE).parquet(f"{path}/manifest")
+    recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("part", "copy", "root")
+    names = ["level", "part", "node"]
+    both = _tree(recipes).withColumnsRenamed({"n_recipes": "n", "root": "r"}).join(stored, names, "full")
+    if bad := both.filter(~(F.col("n").eqNullSafe(F.col("n_recipes")) & F.col("r").eqNullSafe(F.col("root")))).select(*names).limit(1).collect():
+        raise ValueError(f"the manifest and the recipes differ at {bad[0]}")
+
+
 def read_digests(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
     ship(spark)
+    verify_manifest(spark, path)
     known = scratch.put(_chunks(spark, path).mapInArrow(_checked_chunks, "digest binary, n int, crc long"), "checked")
-    rows = _recipe_chunks(spark, path).join(known, "digest")
+    rows = _recipe_chunks(spark, path).join(known, "digest", "left")
     docs = rows.groupBy("part", "copy", "doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("chunks"))
     return docs.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start and the ids themselves, rebuilt from recipes and chunks."""
+    """doc_id, start and the ids themselves, rebuilt from recipes and chunks; every chunk is checked against its digest."""
     ship(spark)
+    verify_manifest(spark, path)
 
     def rebuild(batches):
         for b in batches:
-            ids = [np.concatenate([unpack(c["payload"]) for c in sorted(x, key=lambda c: c["seq"])]).astype(np.int32) for x in b.column("chunks").to_pylist()]
+            ids = []
+            for n, chunks in zip(b.column("n_tokens").to_pylist(), b.column("chunks").to_pylist()):
+                parts = []
+                for c in sorted(chunks, key=lambda c: c["seq"]):
+                    if c["payload"] is None:
+                        raise ValueError("a recipe names a chunk that is not in the store")
+                    if address(c["payload"]) != c["digest"]:
+                        raise ValueError(f"chunk {c['digest'].hex()} does not match its digest")
+                    parts.append(unpack(c["payload"]))
+                ids.append(np.concatenate(parts).astype(np.int32))
+                if len(ids[-1]) != n:
+                    raise ValueError("a recipe and its chunks differ in length")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-    rows = _recipe_chunks(spark, path).join(_chunks(spark, path), "digest")
-    return rows.groupBy("part", "copy", "doc_id", "start").agg(F.collect_list(F.struct("seq", "payload")).alias("chunks")).mapInArrow(rebuild, "doc_id long, start long, ids array<int>")
+    rows = _recipe_chunks(spark, path).join(_chunks(spark, path), "digest", "left")
+    docs = rows.groupBy("part", "copy", "doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("seq", "digest", "payload")).alias("chunks"))
+    return docs.mapInArrow(rebuild, "doc_id long, start long, ids array<int>")
 
 
 def op8_token_store(spark: SparkSession, documents: DataFrame) -> DataFrame:
