@@ -1,12 +1,15 @@
 """Main text of web pages from flat text blocks.
 
-A page is cut at block-level tags into blocks of running text. Each block has its number of words and the share of
-them inside links, the same of its two neighbours, whether it is a heading, and the region it stands in: inside
-boilerplate containers (navigation, header, footer, sidebar, form, advert, notice, comments ...), inside a content
-container, or neither. A decision tree, grown once from the small labelled table below, keeps or drops each block.
+A page is cut at block-level tags into blocks of running text. Each block has its number of words, the share of them inside links,
+the same of the blocks before and behind it, its kind (heading, paragraph, list item, or text that stands bare in a container), and
+two hints: whether a container around it calls itself something else than the article (navigation, form, advert, comments ...), and
+whether one calls itself the article. A decision tree, grown once from the small labelled pages below, keeps or drops each block. The
+hints are features among others: on pages without them the tree decides by words, links and neighbours. A form that holds most of a
+page's words, or the article, wraps the page and is no hint.
 
 Defined results: null or empty html gives the empty text; malformed html is read as far as it goes, with unclosed
-elements closed by the next block; repeated rows and null ids each give a row; an empty table gives none.
+elements closed by the next block; a page is read in time that grows with its length, however long; repeated rows and null ids each give
+a row; blocks on which leaves tie (0.5) are kept; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ BLOCK = {
     "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li",
     "main", "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+BARE, HEADING, PARAGRAPH, ITEM = range(4)
+KINDS = dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), HEADING) | dict.fromkeys(("p", "pre", "blockquote", "figcaption", "dd"), PARAGRAPH) | {"li": ITEM, "dt": ITEM}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-OUTER = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "search", "fieldset", "label"}
+OUTER = {"nav", "header", "footer", "aside", "button", "dialog", "menu", "search", "fieldset", "label"}
 INNER = {"article", "main"}
 OUTER_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "byline", "captcha", "comment",
@@ -41,82 +45,194 @@ OUTER_NAMES = {
 OUTER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 INNER_NAMES = {"article", "content", "entry", "main", "post", "story"}
 
-# Labelled blocks. region (0 boilerplate, 1 neither, 2 content), link share, words, heading, words before,
-# link share before, words after, link share after, label (1 main text).
+# Labelled pages, one block in a line, an empty line between pages. Kind (b bare, h heading, p paragraph, i list
+# item), words, words in links, hint of another container, hint of the article, label (1 main text).
 LABELLED = """
-0 1.0 1 0 0 0.0 1 1.0 0
-0 1.0 1 0 1 1.0 1 1.0 0
-0 1.0 3 0 1 1.0 12 0.0 0
-0 0.0 8 0 1 1.0 9 0.0 0
-0 0.0 14 0 1 1.0 10 0.0 0
-0 0.0 25 0 3 1.0 8 0.0 0
-0 0.1 12 0 60 0.0 0 0.0 0
-0 0.0 60 0 80 0.0 45 0.0 0
-0 0.0 45 0 60 0.0 9 0.0 0
-0 0.0 9 0 90 0.0 0 0.0 0
-0 0.0 4 1 2 1.0 30 0.0 0
-0 0.0 150 0 10 0.0 8 0.2 0
-2 0.0 6 1 12 0.0 14 0.0 1
-2 0.0 9 1 14 0.0 40 0.0 1
-2 0.0 1 0 70 0.0 1 0.0 1
-2 0.0 1 0 1 0.0 2 0.0 1
-2 0.0 3 0 9 0.0 120 0.0 1
-2 0.0 12 0 8 0.0 1 0.0 1
-2 0.0 40 0 9 0.0 60 0.0 1
-2 0.2 55 0 40 0.0 30 0.0 1
-2 0.05 90 0 55 0.1 2 0.0 1
-2 0.0 200 0 90 0.0 14 1.0 1
-2 0.3 30 0 200 0.0 50 0.0 1
-2 0.5 6 0 30 0.0 44 0.0 1
-2 0.4 10 0 44 0.0 7 0.0 1
-2 1.0 4 0 5 1.0 5 1.0 0
-2 1.0 5 0 4 1.0 6 1.0 0
-2 1.0 6 0 5 1.0 12 0.9 0
-2 1.0 3 0 120 0.0 4 1.0 0
-2 0.9 12 0 6 1.0 0 0.0 0
-1 1.0 2 0 1 1.0 2 1.0 0
-1 1.0 2 0 0 0.0 2 1.0 0
-1 1.0 5 0 2 1.0 3 0.0 0
-1 0.0 3 0 2 1.0 2 1.0 0
-1 0.0 4 0 5 1.0 1 1.0 0
-1 0.7 7 0 5 1.0 6 0.8 0
-1 0.0 6 0 40 0.0 0 0.0 0
-1 0.0 5 0 0 0.0 4 1.0 0
-1 0.8 20 0 12 1.0 9 0.7 0
-1 0.0 7 1 4 1.0 60 0.0 1
-1 0.0 9 1 3 0.0 35 0.0 1
-1 0.0 40 0 7 0.0 55 0.0 1
-1 0.1 60 0 40 0.0 25 0.0 1
-1 0.0 25 0 60 0.0 30 0.2 1
-1 0.2 35 0 25 0.0 5 0.0 1
-1 0.0 14 0 50 0.0 45 0.0 1
-1 0.0 5 0 50 0.0 45 0.0 1
-1 0.0 3 0 80 0.0 70 0.0 1
-1 0.0 120 0 2 1.0 6 0.0 1
-2 0.0 1 1 5 0.0 6 0.2 1
-2 0.0 2 1 20 1.0 9 0.5 1
-2 0.0 7 1 4 1.0 5 0.4 1
-2 0.0 3 0 6 1.0 3 1.0 1
-2 0.1 20 0 3 1.0 4 1.0 1
-2 0.0 2 0 0 0.0 0 0.0 1
-2 0.3 6 0 14 0.9 0 0.0 1
-2 0.0 30 0 5 0.0 12 0.6 1
-2 0.2 5 0 2 0.0 8 0.3 1
-2 0.5 4 0 11 0.0 10 0.2 1
-2 0.0 16 0 9 0.4 7 0.8 1
-2 0.0 1 0 44 0.2 60 0.3 1
-2 1.0 2 0 40 0.0 60 0.0 0
-2 1.0 3 0 7 0.0 90 0.0 0
-0 0.0 80 0 90 0.0 70 0.0 0
-0 0.0 5 1 40 0.0 30 0.0 0
-0 0.0 30 0 6 0.0 6 0.0 0
-0 0.2 18 0 14 0.0 9 0.3 0
-0 0.0 2 0 60 0.0 60 0.0 0
-1 1.0 4 0 60 0.0 70 0.0 0
+i 1 1 1 0 0
+i 2 2 1 0 0
+i 1 1 1 0 0
+b 9 0 1 0 0
+h 6 0 0 1 1
+p 70 0 0 1 1
+p 3 0 0 1 1
+p 120 4 0 1 1
+p 14 0 0 1 1
+b 11 0 1 0 0
+
+h 2 0 0 1 1
+p 1 0 0 1 1
+b 8 0 1 0 0
+
+i 1 1 0 0 0
+i 1 1 0 0 0
+i 2 2 0 0 0
+h 7 0 0 0 1
+b 5 1 0 0 0
+p 85 3 0 0 1
+p 42 0 0 0 1
+h 3 0 0 0 1
+p 6 0 0 0 1
+p 60 8 0 0 1
+b 6 0 0 0 0
+
+p 200 0 0 0 1
+
+h 5 0 0 0 1
+p 30 0 0 0 1
+p 55 0 0 0 1
+p 12 0 0 0 1
+
+h 4 0 0 0 1
+p 40 0 0 0 1
+p 25 2 0 0 1
+p 9 0 0 0 1
+i 3 3 0 0 0
+i 4 4 0 0 0
+i 2 2 0 0 0
+
+b 2 2 0 0 0
+b 1 1 0 0 0
+b 3 3 0 0 0
+b 8 0 0 0 0
+b 45 0 0 0 1
+b 80 5 0 0 1
+b 4 0 0 0 1
+b 66 0 0 0 1
+b 38 0 0 0 1
+b 7 1 0 0 0
+b 2 2 0 0 0
+b 3 3 0 0 0
+
+b 3 3 0 0 0
+b 4 4 0 0 0
+h 9 0 0 0 1
+b 3 0 0 0 0
+b 4 0 0 0 0
+b 110 10 0 0 1
+b 60 0 0 0 1
+h 2 0 0 0 0
+i 6 6 0 0 0
+i 7 7 0 0 0
+i 5 5 0 0 0
+b 9 4 0 0 0
+
+h 6 0 0 1 1
+p 33 0 0 1 1
+i 4 0 0 1 1
+i 12 0 0 1 1
+i 7 2 0 1 1
+p 21 6 0 1 1
+p 50 20 0 1 1
+h 2 0 0 1 1
+p 28 0 0 1 1
+i 6 6 0 1 0
+i 5 5 0 1 0
+i 8 8 0 1 0
+
+h 6 0 0 0 1
+p 50 4 0 0 1
+i 6 0 0 0 1
+i 15 1 0 0 1
+i 9 0 0 0 1
+p 35 0 0 0 1
+h 2 0 1 0 0
+p 40 0 1 0 0
+p 22 0 1 0 0
+p 65 0 1 0 0
+b 3 3 1 0 0
+b 12 2 1 0 0
+
+b 14 2 1 0 0
+b 2 2 1 0 0
+h 8 0 0 1 1
+b 30 0 0 1 1
+b 5 0 0 1 1
+b 90 0 0 1 1
+p 40 0 1 1 0
+p 12 0 1 1 0
+h 3 0 1 1 0
+b 18 0 1 0 0
+b 60 5 1 0 0
+
+b 26 1 1 0 0
+h 3 0 1 0 0
+b 7 7 1 0 0
+p 17 0 0 0 1
+p 150 12 0 0 1
+p 3 0 0 0 1
+p 75 0 0 0 1
+b 40 0 1 0 0
+p 30 3 1 0 0
+h 4 0 1 0 0
+
+i 5 5 0 0 0
+h 1 0 0 0 1
+p 2 0 0 0 1
+p 8 0 0 0 1
+p 5 0 0 0 1
+b 4 0 0 0 0
+
+b 1 0 0 1 1
+
+b 150 0 0 0 1
+
+b 2 2 0 0 0
+h 5 0 0 0 1
+b 80 0 0 0 1
+b 64 0 0 0 1
+
+b 40 0 0 0 1
+b 31 0 0 0 1
+
+b 2 0 0 1 1
+b 6 0 0 1 1
+b 12 0 0 1 1
+b 7 0 0 1 1
+
+h 5 0 0 0 1
+p 20 0 0 0 1
+h 1 0 0 0 0
+i 2 2 0 0 0
+i 3 3 0 0 0
+
+h 7 0 0 0 1
+p 88 0 0 0 1
+h 3 0 0 0 0
+b 4 4 0 0 0
+b 5 5 0 0 0
+
+h 7 0 0 0 1
+b 52 0 0 0 1
+b 12 0 0 0 0
+
+h 7 0 0 0 1
+b 61 3 0 0 1
+b 17 0 0 0 1
+b 44 0 0 0 1
+b 8 0 0 0 1
+b 73 0 0 0 1
+b 5 0 0 0 0
+
+b 2 2 0 0 0
+h 6 0 0 0 1
+p 58 0 0 0 1
+h 4 0 0 0 1
+p 90 0 0 0 1
+p 72 0 0 0 1
+h 2 0 0 0 1
+p 31 0 0 0 1
+b 12 0 0 0 0
+
+h 4 4 0 0 0
+p 18 5 0 0 1
+p 3 3 0 0 0
+h 5 5 0 0 0
+p 20 3 0 0 1
+p 3 3 0 0 0
 """
 
 
-def grow(rows: list[tuple[list[float], int]], depth: int = 6, least: int = 1):
+def grow(rows: list[tuple[list[float], int]], depth: int = 8, least: int = 1):
     """A binary tree by Gini impurity: a float (share of label 1), or (feature, bound, low side, high side)."""
     ones = sum(y for _, y in rows)
     if depth == 0 or ones in (0, len(rows)):
@@ -139,8 +255,20 @@ def grow(rows: list[tuple[list[float], int]], depth: int = 6, least: int = 1):
     return (k, bound, grow([r for r in rows if r[0][k] <= bound], depth - 1, least), grow([r for r in rows if r[0][k] > bound], depth - 1, least))
 
 
+def features(blocks: list[tuple[int, int, int, int, int]]) -> list[list[float]]:
+    """Of blocks (kind, words, linked words, other, article): words, link share, whether bare, heading, paragraph, item, the hints, and
+    words and link share of both neighbours; a page's ends count as blocks without words."""
+    beside = [(w, x / w) for _, w, x, _, _ in blocks]
+    around = [(0, 0.0), *beside, (0, 0.0)]
+    return [[*around[k + 1], *(float(kind == x) for x in range(4)), other, article, *around[k], *around[k + 2]] for k, (kind, _, _, other, article) in enumerate(blocks)]
+
+
 def labelled_rows(table: str = LABELLED) -> list[tuple[list[float], int]]:
-    return [([float(v) for v in line.split()[:-1]], int(line.split()[-1])) for line in table.strip().splitlines()]
+    out = []
+    for page in table.strip().split("\n\n"):
+        blocks = [("bhpi".index(line[0]), *map(int, line.split()[1:])) for line in page.splitlines()]
+        out += [(x, b[-1]) for x, b in zip(features([b[:-1] for b in blocks]), blocks)]
+    return out
 
 
 TREE = grow(labelled_rows())
@@ -156,12 +284,15 @@ def judge(tree, features: list[float]) -> float:
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[a-z]+")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: The rest of a tag: a bound inside a quoted value is no end; a quote that is never closed is a character like others.
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+>""")
 
 
-def _own_region(tag: str, attributes: str, region: int) -> int:
-    """The region of an element inside ``region``: boilerplate holds for all below it."""
-    if region == 0:
-        return 0
+def _hints(tag: str, attributes: str, hints: tuple[int, int, int]) -> tuple[int, int, int]:
+    """(other container, article, form) inside an element; the first and the last hold for all below it."""
+    other, article, form = hints
+    if other:
+        return hints
     names, role, hidden = set(), "", False
     if attributes:
         for m in _ATTR.finditer(attributes):
@@ -172,28 +303,29 @@ def _own_region(tag: str, attributes: str, region: int) -> int:
                 role = value.strip()
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
-    if hidden or role in OUTER_ROLES or tag in OUTER and not (tag == "header" and region == 2):
-        return 0
-    outer = names & OUTER_NAMES
-    if outer and tag not in ("body", "html", "main") and not (region == 2 and outer <= {"header"}) and not (tag == "article" and outer <= {"header", "tags"}):
-        return 0
-    return 2 if region == 2 or tag in INNER or role in ("main", "article") or names & INNER_NAMES and tag not in ("body", "html") else 1
-
-
-def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, linked words, heading, region) of each block with a word, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
+    if hidden or role in OUTER_ROLES or tag in OUTER and not (tag == "header" and article) or tag == "form" and article:
+        return 1, article, form
+    named = names & OUTER_NAMES
+    if named and tag not in ("body", "html", "main", "form") and not (article and named <= {"header"}) and not (tag == "article" and named <= {"header", "tags"}):
+        return 1, article, form
+    inner = tag in INNER or role in ("main", "article") or names & INNER_NAMES and tag not in ("body", "html")
+    return 0, int(bool(article or inner)), int(form or tag == "form")
+
+
+def text_blocks(page: str) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, kind, words, linked words, hint of another container, hint of the article) of each block with a word, in page order."""
+    out: list[tuple] = []
     held: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []
-    region, in_link, heading = 1, False, 0
+    stack: list[tuple[str, tuple[int, int, int]]] = []
+    opened: dict[str, int] = {}
+    hints, in_link, kind = (0, 0, 0), False, BARE
 
     def close():
-        nonlocal heading
         if held:
             words = _html.unescape("".join(held)).split()
             if words:
-                out.append((" ".join(words), len(words), min(len(words), len(_html.unescape(" ".join(linked)).split())), heading, region))
+                out.append((" ".join(words), kind, len(words), min(len(words), len(_html.unescape(" ".join(linked)).split())), *hints))
             held.clear()
             linked.clear()
 
@@ -230,17 +362,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
                 text("&lt;")
                 i = j + 1
             continue
-        k = first = page.find(">", m.end())
-        for _ in range(32):  # a bound inside quotes is no end of the tag
-            if k < 0 or not ((inside := page[m.end() : k]).count('"') % 2 or inside.count("'") % 2 and '"' not in inside):
-                break
-            k = page.find(">", k + 1)
-        else:
-            k = first
-        k = first if k < 0 else k
-        if k < 0:
+        rest = _REST.match(page, m.end())
+        if not rest:
             break
-        tag, attributes, i = m[0].lower(), page[m.end() : k], k + 1
+        tag, attributes, i = m[0].lower(), page[m.end() : rest.end() - 1], rest.end()
         if tag in RAW and not closing:
             if not attributes.endswith("/"):
                 low = page.lower() if low is None else low
@@ -261,41 +386,38 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int, int]]:
             continue
         if tag in BLOCK:
             close()
-            heading = int(tag in HEADINGS and not closing)
+            kind = BARE if closing else KINDS.get(tag, BARE)
             in_link = False if tag != "li" else in_link
         elif not attributes and not closing or tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
+            if opened.get(tag):
                 while stack:
-                    t, before = stack.pop()
-                    region = before
+                    t, hints = stack.pop()
+                    opened[t] -= 1
                     if t == tag:
                         break
         elif tag not in VOID and not attributes.endswith("/"):
             if tag in BLOCK and stack and stack[-1][0] == "p":  # a block ends an open paragraph
-                region = stack.pop()[1]
-            own = _own_region(tag, attributes, region)
-            if own != region and tag not in BLOCK:
+                opened["p"] -= 1
+                hints = stack.pop()[1]
+            own = _hints(tag, attributes, hints)
+            if own != hints and tag not in BLOCK:
                 close()
-            if tag in BLOCK or own != region:
-                stack.append((tag, region))
-                region = own
+            if tag in BLOCK or own != hints:
+                stack.append((tag, hints))
+                opened[tag] = opened.get(tag, 0) + 1
+                hints = own
     close()
-    return out
+    free = [b for b in out if not b[4]]
+    wraps = 2 * sum(b[2] for b in free if b[6]) > sum(b[2] for b in free)
+    return [(*b[:4], int(b[4] or b[6] and not b[5] and not wraps), b[5]) for b in out]
 
 
 def main_text(page: str, tree=None) -> str:
     tree = TREE if tree is None else tree
     blocks = text_blocks(page)
-    share = [b[2] / b[1] for b in blocks]
-    kept = []
-    for k, (text, words, _, heading, region) in enumerate(blocks):
-        before = (blocks[k - 1][1], share[k - 1]) if k else (0, 0.0)
-        after = (blocks[k + 1][1], share[k + 1]) if k + 1 < len(blocks) else (0, 0.0)
-        if judge(tree, [region, share[k], words, heading, *before, *after]) >= 0.5:
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join([b[0] for b, x in zip(blocks, features([b[1:] for b in blocks])) if judge(tree, x) >= 0.5])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
