@@ -155,6 +155,17 @@ def give_back() -> None:
         pass
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them where the frame has such columns (names are compared as Spark does, without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns under fixed names; a null text becomes the empty one."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

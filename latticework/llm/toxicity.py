@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -25,32 +26,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WorkerMemory, crc32_mod, id_and_text, parts_of, ship
+from .common import WorkerMemory, crc32_mod, free_names, id_and_text, parts_of, ship
 
 SLOTS = 1 << 20
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
 SAMPLE = 12_000
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.0
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 _KEEP = 48 << 20  # bytes of words and their hashes that a worker remembers
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_memory = WorkerMemory(_KEEP, 320)
+_memory = WorkerMemory(_KEEP, 240)
+_packed = struct.Struct(f"<{1 + len(STEMS)}Q").pack
 
 
-def _hash(word: str) -> tuple[int, ...]:
+def _hash(word: str) -> bytes:
     """Of the word and of its first letters; a word that is not longer than a stem has its own hash there."""
-    digest = xxhash.xxh3_64_intdigest
-    h = digest(word.encode("utf-8", "surrogatepass"))
-    return h, *(digest(b"^" + word[:n].encode("utf-8", "surrogatepass")) if len(word) > n else h for n in STEMS)
+    digest, raw = xxhash.xxh3_64_intdigest, word.encode("utf-8", "surrogatepass")
+    h = digest(raw)
+    cut = raw.__getitem__ if len(raw) == len(word) else lambda to: word[to].encode("utf-8", "surrogatepass")
+    return _packed(h, *(digest(b"^" + cut(slice(n))) if len(word) > n else h for n in STEMS))
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
     _memory.turn()
     known = _memory.young
     _memory.learn(set(words).difference(known), _hash)
-    return np.array([known[w] for w in words], np.uint64)
+    return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(len(words), -1)
 
 
 def active_slots(text: str) -> np.ndarray:
@@ -60,10 +63,7 @@ def active_slots(text: str) -> np.ndarray:
         return np.empty(0, np.int64)
     both = np.concatenate([_word_hashes(part) for part in parts_of(words)])
     h = both[:, 0]
-    with np.errstate(over="ignore"):
-        parts = [(both * _MIX[0]).ravel()]
-        parts.append(h[:-1] * _MIX[1] + h[1:] * _MIX[2])
-        parts.append(h[:-2] * _MIX[2] + h[2:] * _MIX[3])
+    parts = [(both * _MIX[0]).ravel(), h[:-1] * _MIX[1] + h[1:] * _MIX[2], h[:-2] * _MIX[2] + h[2:] * _MIX[3]]
     return (np.concatenate(parts) >> np.uint64(44)).astype(np.int64)
 
 
@@ -111,7 +111,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     # at most ``sample`` rows of (id, label): a fixed bound, so it may be broadcast
-    rows = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    met = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    # of rows that repeat an id one text counts, so that the training task has at most ``sample`` rows
+    rows = met.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", F.col("one.text").alias("text"), "toxic")
     found = rows.repartition(1).mapInArrow(_train, "slot long, weight double").collect()
     bias = next((r.weight for r in found if r.slot < 0), -1.0)
     kept = sorted((r.slot, r.weight) for r in found if r.slot >= 0)
@@ -119,11 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
 
 
 def scores(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows with a column ``_lw_score`` added; ``rows`` must not have one."""
+    """The rows with a last column added, ``_lw_score`` or, where that is taken, the name with underscores."""
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    place = rows.columns.index(text_col)
+    place, (name,) = rows.columns.index(text_col), free_names(rows, "_lw_score")
 
     def score(batches):
         _memory.enter()
@@ -137,9 +139,9 @@ def scores(rows: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text_co
                 at = active_slots(text.as_py() or "")
                 at = np.unique(at[live[at]])
                 out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, bias + float(dense[at].sum()))))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "_lw_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, name])
 
-    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField("_lw_score", T.DoubleType())]))
+    return rows.mapInArrow(score, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def op6_toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,4 +151,5 @@ def op6_toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pipeline stage: rows predicted toxic go; all others stay unchanged."""
-    return scores(docs, train(docs, labels)).filter("_lw_score < 0.5").select(docs.columns)
+    scored = scores(docs, train(docs, labels))
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(docs.columns)

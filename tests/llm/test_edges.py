@@ -4,7 +4,7 @@ import pytest
 
 from latticework.llm import decontam, html_blocks, ngram_lm, quality_mcd, simhash, sp_bpe, suffix_dedup, token_store, toxicity, warc
 
-EXTRA = ["key", "mark", "place", "fp", "rep", "w", "node", "label", "g", "rows", "source_", "n", "m0", "l00", "x0", "word", "c", "shard", "block", "kind", "digest", "first", "last", "spans", "type", "distance", "learns", "component_id", "payload_sha1", "row_id", "part", "tox_score", "_words", "item_id", "page"]
+EXTRA = ["_lw_score", "_lw_id", "_lw_spans", "_LW_mark", "ctx", "left", "key", "mark", "place", "fp", "rep", "w", "node", "label", "g", "rows", "source_", "n", "m0", "l00", "x0", "word", "c", "shard", "block", "kind", "digest", "first", "last", "spans", "type", "distance", "learns", "component_id", "payload_sha1", "row_id", "part", "tox_score", "_words", "item_id", "page"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
 PAGES = "page_id long, url string, html string, " + ", ".join(f"`{c}` string" for c in EXTRA)
 

@@ -223,20 +223,62 @@ def test_trie_saved_and_mapped(tmp_path):
     assert (ngram_lm.Trie.load(str(tmp_path / "trie")).ask(ask, ngram_lm.quantised(p1)) == trie.ask(ask, ngram_lm.quantised(p1))).all()
 
 
-@pytest.mark.parametrize("folder,below,recall", [("/root/testdata/sf0.1", 1 << 62, 0.85), ("/root/testdata/check_s", 12_000, 0.95)])
-def test_toxicity_on_the_held_out_fold(spark, folder, below, recall):
-    """The first table has some 350 toxic rows to learn from, and marks texts whose words recur in few of them."""
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").filter(f"doc_id < {below}"), spark.read.parquet(f"{folder}/labels.parquet")
-    labels = labels.filter(f"doc_id < {below}")
+def check_toxicity(spark, docs, labels, recall):
     got = toxicity.op6_toxicity(spark, docs, labels)
     assert got.count() == docs.count()
     rows = got.join(labels, "doc_id").filter("held_out and toxic is not null").select("toxic", "predicted", "score").collect()
     positive = [r for r in rows if r.toxic]
-    assert sum(r.predicted for r in positive) >= recall * len(positive) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
+    assert len(positive) >= 40 and sum(r.predicted for r in positive) >= recall * len(positive) and sum(r.predicted for r in rows if not r.toxic) <= 0.01 * len(rows)
     assert all(0 <= r.score <= 1 for r in rows)
     assert got.filter(crc32_mod("doc_id", 5) == 0).count() == got.filter("held_out").count()
 
 
+def test_toxicity_on_the_held_out_fold(spark):
+    """The table has some 350 toxic rows to learn from, and marks texts whose words recur in few of them."""
+    folder = "/root/testdata/sf0.1"
+    check_toxicity(spark, spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"), 0.85)
+
+
+def test_toxicity_with_enough_labels(spark):
+    """5,000 texts of 10 to 2,000 words, each toxic one with some of 30 words that are inflected and put anywhere."""
+    r = random.Random(13)
+    plain = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    bad = ["".join(r.choice("klmnop") for _ in range(r.randint(4, 7))) for _ in range(30)]
+    docs, labels = [], []
+    for k in range(5000):
+        words = [r.choice(plain) for _ in range(r.choice((10, 60, 300, 2000)))]
+        if toxic := int(r.random() < 0.15):
+            for _ in range(max(3, len(words) // 40)):
+                words.insert(r.randrange(len(words)), r.choice(bad) + r.choice(("", "s", "ed", "ing")))
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, toxic))
+    check_toxicity(spark, table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 0.95)
+
+
+def test_training_equals_a_plain_loop():
+    r = random.Random(14)
+    examples = [(np.array(sorted(r.sample(range(40), r.randint(1, 25)))), int(r.random() < 0.3)) for _ in range(300)]
+    bias, got = toxicity.ftrl_train(examples, 3)
+    z, n = Counter(), Counter()
+    def weight(i):
+        return 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(3):
+        for at, y in examples:
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-bias - sum(w.values()))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    assert np.allclose(got[:40], [weight(i) for i in range(40)]) and not got[40:].any() and got.any()
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = table(spark, [(k % 6, f"text {k % 9}") for k in range(300)])
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(6)], "doc_id long, quality int, toxic int")
+    once = table(spark, [(k, min((f"text {j % 9}" for j in range(300) if j % 6 == k), key=lambda t: spark.sql(f"select xxhash64('{t}')").first()[0])) for k in range(6)])
+    assert toxicity.train(docs, labels)[0] == toxicity.train(once, labels)[0]
+
+
 def test_toxicity_corner_cases(spark):
     docs = spark.createDataFrame([(1, "bad fool", 1), (2, "good day", 2), (3, None, 3), (3, "bad", 3), (None, "bad", 4)], "doc_id long, text string, _lw_score_ int")
     labels = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
