@@ -118,6 +118,30 @@ def test_repeated_passages_against_brute_force(spark):
     assert 27 not in got and 31 not in got
 
 
+def test_key_collisions_and_partition_borders_change_nothing(spark):
+    """Four keys for all suffixes, and many partitions, so that stretches of equal words cross their borders."""
+    r = random.Random(17)
+    common = words_text(r, 70)
+    texts = [(k, f"{words_text(r, r.randint(0, 60))} {' '.join(common.split()[k % 7 : 70 - k % 5])} {words_text(r, r.randint(0, 60))}") for k in range(150)]
+    texts += [(200 + k, words_text(r, 90)) for k in range(20)] + [(300 + k, " ".join(texts[k][1].split()[k:])) for k in range(30)]
+    docs, want = table(spark, texts), plain_matches(texts)
+    def matches(**options):
+        got = defaultdict(set)
+        for x in suffix_dedup.repeated_passages(docs, Scratch(spark, "test"), **options).collect():
+            for k in range(x.n_words - suffix_dedup.LEAST + 1):
+                got[x.doc_id].add((x.start_word + k, x.rep_doc_id, x.rep_start_word + k))
+        return got
+    assert matches(key_bits=2) == want
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        assert matches() == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_cutting_keeps_first_occurrences_and_clean_texts(spark):
     r = random.Random(8)
     a = words_text(r, 60)
