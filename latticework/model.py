@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.predicates import apply
@@ -40,6 +40,9 @@ class EdgeTable:
     src_label: str | None = None
     dst_label: str | None = None
     integrity: bool = True
+    #: the same edges with the ends' keys in place of ids (``src``, ``dst``) and an ``eid`` that ``render`` turns into the id
+    keyed: Callable[[], DataFrame] | None = None
+    render: Callable[[Column], Column] | None = None
 
     @property
     def frame(self) -> DataFrame:
@@ -63,6 +66,8 @@ class PropertyGraph:
     spark: SparkSession
     vertices: Mapping[str, DataFrame] = field(default_factory=dict)  # label -> vid, attributes
     edges: list[EdgeTable] = field(default_factory=list)
+    #: the column of every vertex frame that holds its key, where ids are "<label>^<key>" with keys of 64 bits
+    key: str | None = None
 
     def vertices_of(self, label: str, preds: tuple[Pred, ...] = ()) -> DataFrame:
         """All vertices of a label (an empty frame if there is none) on which the predicates hold."""
@@ -71,6 +76,11 @@ class PropertyGraph:
 
     def vertex(self, vid: str) -> DataFrame:
         """The vertex with this id, with its label, in a frame of one row or none."""
+        label, _, raw = vid.partition("^")
+        if self.key and label in self.vertices and raw.removeprefix("-").isdecimal() and abs(int(raw)) < 1 << 63:
+            # the id names its label and key, so one table is opened and the filter on the key reaches its scan
+            df = self.vertices[label]
+            return df.filter((F.col(self.key) == int(raw)) & (F.col("vid") == vid)).withColumn("label", F.lit(label))
         found = [df.filter(F.col("vid") == vid).withColumn("label", F.lit(label)) for label, df in self.vertices.items()]
         return _union(found) if found else self.spark.createDataFrame([], "vid string, label string")
 

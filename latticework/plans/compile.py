@@ -5,7 +5,8 @@
 * An edge between bound vertices is joined on both ends, never expanded and filtered.
 * Relationships are pairwise distinct: for two pattern edges of one label whose frames can hold the same edge, ``e_i <> e_j`` is
   applied as soon as the second is bound.
-* Only ids are carried; attributes are fetched after matching.
+* Only ids are carried; attributes are fetched after matching. Where a graph has 64-bit keys, and each pattern edge lies in one table,
+  keys are carried in place of ids, and ids are rendered from the result.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import vid
+from ..functions.predicates import apply
 from ..model import PropertyGraph
 from ..pattern import Pattern, parse
 from .plan import Plan, make_plan
@@ -30,13 +33,16 @@ class Compiler:
         self.g, self.plan, self.p = graph, plan, plan.pattern
         self.injective, self.hint = vertex_injective, join_hint
         self.parts: list[_Part] = []
+        of = lambda e: graph.tables_of(e.label, self.p.vertices[e.src].label, self.p.vertices[e.dst].label)
+        self.tables = {e.eid: found[0] for e in self.p.edges.values() if len(found := of(e)) == 1 and found[0].keyed and found[0].typed("src") and found[0].typed("dst")}
+        self.keyed = graph.key is not None and len(self.tables) == len(self.p.edges) and all(v.label in graph.vertices for v in self.p.vertices.values())
 
     def _join(self, a: DataFrame, b: DataFrame, on) -> DataFrame:
         return a.join(b.hint(self.hint) if self.hint else b, on)
 
-    def _vertex(self, vid: str) -> DataFrame:
-        v = self.p.vertices[vid]
-        return self.g.vertices_of(v.label, v.preds).select(F.col("vid").alias(f"v_{vid}"))
+    def _vertex(self, name: str) -> DataFrame:
+        v = self.p.vertices[name]
+        return self.g.vertices_of(v.label, v.preds).select(F.col(self.g.key if self.keyed else "vid").alias(f"v_{name}"))
 
     def _needs_lookup(self, vid: str, eid: str) -> bool:
         v, e = self.p.vertices[vid], self.p.edges[eid]
@@ -45,7 +51,7 @@ class Compiler:
 
     def _edge(self, eid: str) -> DataFrame:
         e = self.p.edges[eid]
-        df = self.g.edges_of(e.label, self.p.vertices[e.src].label, self.p.vertices[e.dst].label, e.preds)
+        df = apply(self.tables[eid].keyed(), e.preds) if self.keyed else self.g.edges_of(e.label, self.p.vertices[e.src].label, self.p.vertices[e.dst].label, e.preds)
         if e.src == e.dst:
             return df.filter("src = dst").select(F.col("src").alias(f"v_{e.src}"), F.col("eid").alias(f"e_{eid}"))
         return df.select(F.col("src").alias(f"v_{e.src}"), F.col("dst").alias(f"v_{e.dst}"), F.col("eid").alias(f"e_{eid}"))
@@ -90,7 +96,10 @@ class Compiler:
 
     def run(self) -> DataFrame:
         for s in self.plan.steps:
-            if s.kind == "scan":
+            if s.kind == "merge":  # what is still apart is disconnected: a cross product is what the pattern asks for
+                a, b = self.parts[0], self.parts[1]
+                self._meet(a, b, a.frame.crossJoin(b.frame))
+            elif s.kind == "scan":
                 self.parts.append(_Part(self._vertex(s.vertex), {s.vertex}, []))
             elif s.kind == "expand":
                 e = self.p.edges[s.edge]
@@ -108,11 +117,9 @@ class Compiler:
                 else:  # the edge joins two parts
                     self._bound(a, self._join(a.frame, edges, f"v_{e.src}"), None, s.edge)
                     self._meet(a, b, self._join(a.frame, b.frame, f"v_{e.dst}"))
-        # what is still apart is disconnected: a cross product is what the pattern asks for
-        while len(self.parts) > 1:
-            a, b = self.parts[0], self.parts[1]
-            self._meet(a, b, a.frame.crossJoin(b.frame))
         out = self.parts[0].frame
+        if self.keyed:
+            out = out.select(*(vid(v.label, f"v_{v.vid}").alias(f"v_{v.vid}") for v in self.p.vertices.values()), *(t.render(F.col(f"`e_{e}`")).alias(f"e_{e}") for e, t in self.tables.items()))
         return out.select(*(F.col(f"`v_{v}`") for v in sorted(self.p.vertices)), *(F.col(f"`e_{e}`") for e in sorted(self.p.edges)))
 
 

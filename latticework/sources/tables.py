@@ -45,11 +45,15 @@ def attribute(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("long") if kind in ("int", "bigint", "smallint", "tinyint") else F.col(column)
 
 
-def edge_id(df: DataFrame, label: str, src: str, dst: str, table: str) -> Column:
-    parts = [F.col(src).cast("string"), F.col(dst).cast("string")]
+def edge_parts(df: DataFrame, src: str, dst: str, table: str) -> list[Column]:
+    """What an edge's id is made of: the ends' keys, or a line's own keys and its date."""
     if table == "lineitem":
-        parts = [F.col(c).cast("string") for c in LINE_KEY] + [attribute(df, "l_shipdate").cast("string")]
-    return F.concat_ws(":", F.lit(label), *parts)
+        return [*(F.col(c) for c in LINE_KEY), attribute(df, "l_shipdate").alias("l_shipdate")]
+    return [F.col(src), F.col(dst)]
+
+
+def edge_id(label: str, parts: list[Column]) -> Column:
+    return F.concat_ws(":", F.lit(label), *(p.cast("string") for p in parts))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
@@ -66,9 +70,17 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         df = table(name)
         return df.select(vid(label, key).alias("vid"), F.col(key).cast("long").alias("id"), *(attribute(df, c).alias(a) for a, c in attrs.items()))
 
-    def edges(label: str, src: str, dst: str, name: str, a: str, b: str, attrs: dict[str, str]) -> DataFrame:
+    def edges(keyed: bool, label: str, src: str, dst: str, name: str, a: str, b: str, attrs: dict[str, str]) -> DataFrame:
         df = table(name).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        ids = (edge_id(df, label, a, b, name).alias("eid"), vid(src, a).alias("src"), vid(dst, b).alias("dst"))
+        parts = edge_parts(df, a, b, name)
+        if keyed:  # nothing is rendered before the joins
+            ids = (F.struct(*(p.alias(f"k{i}") for i, p in enumerate(parts))).alias("eid"), F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
+        else:
+            ids = (edge_id(label, parts).alias("eid"), vid(src, a).alias("src"), vid(dst, b).alias("dst"))
         return df.select(*ids, *(attribute(df, c).alias(x) for x, c in attrs.items()))
 
-    return PropertyGraph(spark, Frames({k: partial(vertices, k) for k in VERTICES}), [EdgeTable(e[0], partial(edges, *e), e[1], e[2]) for e in EDGES])
+    def render(label: str, name: str, eid: Column) -> Column:
+        return edge_id(label, [eid[f"k{i}"] for i in range(len(LINE_KEY) + 1 if name == "lineitem" else 2)])
+
+    made = [EdgeTable(e[0], partial(edges, False, *e), e[1], e[2], True, partial(edges, True, *e), partial(render, e[0], e[3])) for e in EDGES]
+    return PropertyGraph(spark, Frames({k: partial(vertices, k) for k in VERTICES}), made, "id")
