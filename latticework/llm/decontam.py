@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched by block-max WAND.
 
-The index holds the items (small, broadcast behind a size check; beyond the bound it is split into shards that are
-searched one after the other). The queries are the training passages: windows of 2 * stride words every stride
+The index holds the items, broadcast behind a check of their size; beyond the bound they are searched in shards, one after the other, each
+found set being written before the next shard is read. Document frequencies, the mean length and the stride are those of all items,
+so a score does not depend on the shards. The queries are the training passages: windows of 2 * stride words every stride
 words over the whole text, where stride is at least the longest item, so that every item-sized run of words
 lies in one passage. An item's BM25 impacts are divided by the score it gives its own words: a passage's score is
 the weighted share of the item that it covers, and all items at or above ``THRESHOLD`` are retrieved. Items are ordered so that
@@ -12,6 +13,8 @@ A retrieved item is a leak if the passage's text holds at least ``OVERLAP`` of t
 and of its answer. Items carry no fields: the last sentence is the answer, the rest the question (in an item of one
 sentence the last third of its words).
 
+A very long text's passages are scored a group at a time (``GROUP``), so what is held does not grow with the text beyond its words.
+
 Defined results: null or word-less texts and items match nothing; items under five words are compared as one
 shingle; repeated rows each give their rows; equal item texts each count; rows without an id are searched and
 returned with a null id; empty tables give no rows.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, ship
+from .common import Scratch, id_and_text, ship
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -38,7 +42,8 @@ THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
 STRIDE = 64
-INDEX_BYTES = 64 << 20
+INDEX_BYTES = 16 << 20  # of items' text in a shard; its index is some ten times that in each worker
+GROUP = 256  # passages whose bounds are held at once
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
 
@@ -61,31 +66,47 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+@dataclass
+class Corpus:
+    """Figures of all items with words: their number, words in all, the longest one's words, and in how many items a word stands."""
+
+    count: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, bags: list[list[str]]) -> Corpus:
+        df: dict[str, int] = {}
+        for bag in bags:
+            for w in set(bag):
+                df[w] = df.get(w, 0) + 1
+        return cls(len(bags), sum(map(len, bags)), max(map(len, bags), default=0), df)
+
+
 class ItemIndex:
     """Term -> postings (item, impact) in item order, with the largest impact of each block of ``BLOCK`` postings."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
+        """``corpus``: the figures of all items where these are but a shard of them."""
         self.items = []
         for item_id, text in items:
             q, a = question_and_answer(text or "")
             if q or a:
                 self.items.append((item_id, q, a, shingles(q), shingles(a)))
-        df: dict[str, int] = {}
-        for _, q, a, _, _ in self.items:
-            for w in {*q, *a}:
-                df[w] = df.get(w, 0) + 1
+        about = corpus or Corpus.of([q + a for _, q, a, _, _ in self.items])
+        df, count, mean = about.df, about.count, about.words / max(1, about.count)
         # like items stand together: by their most widespread words
         self.items.sort(key=lambda x: sorted({*x[1], *x[2]}, key=lambda w: (-df[w], w))[:6])
         bags = [q + a for _, q, a, _, _ in self.items]
-        mean = sum(map(len, bags)) / max(1, len(bags))
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
-        self.docs: list[list[int]] = [[] for _ in df]
-        self.impacts: list[list[float]] = [[] for _ in df]
+        self.terms = {w: i for i, w in enumerate(sorted({w for bag in bags for w in bag}))}
+        self.docs: list[list[int]] = [[] for _ in self.terms]
+        self.impacts: list[list[float]] = [[] for _ in self.terms]
         for d, bag in enumerate(bags):
             raw = {}
             for w in set(bag):
                 tf = bag.count(w)
-                raw[w] = math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bag) / mean))
+                raw[w] = math.log(1 + (count - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(bag) / mean))
             own = sum(raw.values())
             for w, x in raw.items():
                 self.docs[self.terms[w]].append(d)
@@ -97,7 +118,7 @@ class ItemIndex:
         self.peaks = np.zeros((len(self.terms) + 1, -(-len(self.items) // self.size)), np.float32)
         for t, (ds, xs) in enumerate(zip(self.docs, self.impacts)):
             np.maximum.at(self.peaks[t], np.array(ds) // self.size, np.array(xs, np.float32))
-        self.stride = max(STRIDE, max(map(len, bags), default=0))
+        self.stride = max(STRIDE, about.longest)
 
     def search(self, terms: list[int], threshold: float = THRESHOLD, begin: int = 0, end: int | None = None) -> list[tuple[int, float]]:
         """Every (item, score) with score >= threshold among items ``begin`` to ``end``, by block-max WAND over the distinct ``terms``."""
@@ -164,39 +185,61 @@ class ItemIndex:
         fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
         per = fresh.sum(axis=1)
         some = np.flatnonzero(per)
-        if not len(some):
-            return []
-        starts = np.cumsum(per[some]) - per[some]
-        bounds = np.add.reduceat(self.peaks[rows[fresh]], starts, axis=0)
         best: dict[int, tuple] = {}
-        at, ranges = np.nonzero(bounds >= THRESHOLD - 1e-5)
-        for k, part in zip(some[at].tolist(), ranges.tolist()):
-            hits = self.search(rows[k][fresh[k]].tolist(), THRESHOLD, part * self.size, min(len(self.items), (part + 1) * self.size))
-            if not hits:
-                continue
-            here = words[k * s : (k + 2) * s]
-            near: dict[int, set] = {}
-            for d, score in hits:
-                item_id, q, a, qs, an = self.items[d]
-                share = []
-                for w, sh in ((q, qs), (a, an)):
-                    n = min(SHINGLE, len(w))
-                    if n and n not in near:
-                        near[n] = {tuple(here[i : i + n]) for i in range(len(here) - n + 1)}
-                    share.append(len(sh & near[n]) / len(sh) if sh else 1.0)
-                if min(share) >= OVERLAP and (d not in best or (-score, k) < (-best[d][1], best[d][4] // s)):
-                    best[d] = (item_id, score, share[0], share[1], k * s)
+        for lo in range(0, len(some), GROUP):
+            part = some[lo : lo + GROUP]
+            starts = np.cumsum(per[part]) - per[part]
+            bounds = np.add.reduceat(self.peaks[rows[part][fresh[part]]], starts, axis=0)
+            at, ranges = np.nonzero(bounds >= THRESHOLD - 1e-5)
+            for k, r in zip(part[at].tolist(), ranges.tolist()):
+                self._verify(words, k, self.search(rows[k][fresh[k]].tolist(), THRESHOLD, r * self.size, min(len(self.items), (r + 1) * self.size)), best)
         return [best[d] for d in sorted(best)]
 
-
-def _shards(items: DataFrame):
-    """The items in shards of at most about INDEX_BYTES of text: one in practice, more if the benchmark grows."""
+    def _verify(self, words: list[str], k: int, hits: list[tuple[int, float]], best: dict[int, tuple]) -> None:
+        """Keeps of the items retrieved by passage k those whose question and answer it holds."""
+        if not hits:
+            return
+        s = self.stride
+        here = words[k * s : (k + 2) * s]
+        near: dict[int, set] = {}
+        for d, score in hits:
+            item_id, q, a, qs, an = self.items[d]
+            share = []
+            for w, sh in ((q, qs), (a, an)):
+                n = min(SHINGLE, len(w))
+                if n and n not in near:
+                    near[n] = {tuple(here[i : i + n]) for i in range(len(here) - n + 1)}
+                share.append(len(sh & near[n]) / len(sh) if sh else 1.0)
+            if min(share) >= OVERLAP and (d not in best or (-score, k) < (-best[d][1], best[d][4] // s)):
+                best[d] = (item_id, score, share[0], share[1], k * s)
+
+
+def _bags(batches):
+    """Words of each item, for the figures over all items."""
+    for b in batches:
+        bags = [q + a for q, a in map(question_and_answer, b.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in bags], pa.int64()), pa.array([sorted(set(x)) for x in bags], pa.list_(pa.string()))], ["n", "words"])
+
+
+def _shards(items: DataFrame, scratch: Scratch):
+    """The items in shards of about INDEX_BYTES of text: one in practice, more if the benchmark grows."""
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-total // INDEX_BYTES))
+    in_order = lambda part: sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if n == 1:
+        yield ItemIndex(in_order(texts))
+        return
+    bags = texts.mapInArrow(_bags, "n long, words array<string>").filter("n > 0")
+    sums = bags.agg(F.count("*").alias("count"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
+    if not sums["count"]:
+        return
+    df = scratch.put(bags.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
     for k in range(n):
-        part = texts if n == 1 else texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield ItemIndex(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        part = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        own = part.mapInArrow(_bags, "n long, words array<string>").select(F.explode("words").alias("word")).distinct()
+        yield ItemIndex(in_order(part), Corpus(sums["count"], sums["words"], sums.longest, {r.word: r.df for r in df.join(own, "word", "left_semi").collect()}))
+    scratch.free(df)
 
 
 _OUT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start long"
@@ -206,9 +249,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """One row for each (row of docs, leaked item), with the best passage's score and overlaps."""
     spark = docs.sparkSession
     ship(spark)
-    out = None
-    for index in _shards(items):
-        shared = spark.sparkContext.broadcast(index)
+    scratch = Scratch(spark, "leaks")
+    out, before = None, None
+    for index in _shards(items, scratch):
+        if before is not None:  # one shard at a time: what it found is written, then it goes
+            out, before = _written(out, before, scratch)
+        shared = before = spark.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
             ix = shared.value
@@ -223,7 +269,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
         part = id_and_text(docs, id_col, text_col).mapInArrow(search, _OUT)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], _OUT) if out is None else out
+
+
+def _written(found: DataFrame, shared, scratch: Scratch) -> tuple[DataFrame, None]:
+    made = scratch.put(found, "shard")
+    shared.destroy()
+    return made, None
 
 
 def op2_decontamination(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -234,9 +286,12 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pipeline stage: rows in which no item is found stay unchanged; a narrow pass, without a shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    out, place = docs, docs.columns.index("text")
-    for index in _shards(items):
-        shared = spark.sparkContext.broadcast(index)
+    scratch = Scratch(spark, "clean")
+    out, place, before = docs, docs.columns.index("text"), None
+    for index in _shards(items, scratch):
+        if before is not None:
+            out, before = _written(out, before, scratch)
+        shared = before = spark.sparkContext.broadcast(index)
 
         def clean(batches, shared=shared):
             for b in batches:

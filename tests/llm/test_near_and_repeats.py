@@ -199,9 +199,21 @@ def test_benchmark_in_shards_gives_the_same(spark, monkeypatch):
     items = [(k, words_text(r, 30, 3000)) for k in range(30)]
     docs = table(spark, [(k, f"{words_text(r, 200, 3000)} {items[k][1]}") for k in range(20)])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    whole = {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()}
+    found = lambda: {(x.doc_id, x.item_id, round(x.score, 9), x.passage_start) for x in decontam.find_leaks(docs, bench).collect()}
+    whole = found()
     monkeypatch.setattr(decontam, "INDEX_BYTES", 1500)
-    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()} == whole == {(k, k) for k in range(20)}
+    assert found() == whole and {x[:2] for x in whole} == {(k, k) for k in range(20)}
+    assert decontam.drop_leaks(docs, bench).count() == 0 and decontam.find_leaks(docs, bench.filter("item_id < 0")).count() == 0
+
+
+def test_long_texts_in_groups_of_passages(monkeypatch):
+    r = random.Random(6)
+    items = [(k, words_text(r, 30, 3000)) for k in range(30)]
+    text = " ".join(f"{words_text(r, 150, 3000)} {items[k % 30][1]}" for k in range(60))
+    ix = decontam.ItemIndex(items)
+    whole = ix.leaks(text)
+    monkeypatch.setattr(decontam, "GROUP", 3)
+    assert ix.leaks(text) == whole and {x[0] for x in whole} == set(range(30))
 
 
 def plain_copies(items):
