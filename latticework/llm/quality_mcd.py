@@ -5,13 +5,19 @@ base rule fails short and repetitive texts. All others are judged by a vector of
 minimum-covariance-determinant estimate of their language and source: Mahalanobis distances above ``CUTOFF`` are rejected.
 
 MCD: from coordinate medians and MADs, concentration steps repeatedly take the share ``H`` of a group's rows that lie
-nearest and re-estimate centre and covariance from them; no step raises the determinant. Statistics are fixed-point integers, so
+nearest and re-estimate centre and covariance from them. Statistics are fixed-point integers, so
 all sums are exact and the result does not depend on how rows are dealt; order statistics are exact percentiles over a bounded
 number of distinct integer values, aggregated before the shuffle, so a source with a third of all rows is no hot key. A floor
 is added to each variance: many statistics are zero in nearly every text, and a zero spread would reject the rest.
 
-Sources with fewer than ``LEAST_ROWS`` judged rows are judged by an estimate over all rows of their language, and languages below that
-bound by one over the whole table, so every row that passes the base rule is judged.
+Every row counts in three estimates: of its source and language, of its language, and of the whole table. A source's own estimate is drawn
+towards its language's, and that towards the whole table's: own and wider count n^2 to ``PRIOR``^2 for centre and covariance alike, n
+being the group's rows. A source of three rows, which one outlier could make its own, is thus judged nearly as its language, one of a
+million by itself, and no size switches the rule.
+
+Each estimate takes two starts, the coordinate medians with their MADs and the centre and covariance of all the group's rows, and the one of
+smaller determinant after the last step stays. Steps are a fixed number; floors, and distances in steps of 1 / 200 in the logarithm, make
+the determinant's descent approximate.
 
 Defined results: null, empty and word-less texts have all counts zero and fail the base rule; null language or source is a group of
 its own; repeated rows each get a row and count as often as they occur; null ids are judged like others; an empty table gives
@@ -27,7 +33,7 @@ from .common import Scratch
 
 H = 0.75
 STEPS = 4
-LEAST_ROWS = 50
+PRIOR = 50
 SCALE = 1000
 #: Smallest spread of each statistic, in its own unit.
 FLOORS = (0.3, 0.35, 0.35, 0.35)
@@ -36,6 +42,9 @@ CUTOFF = 33.377
 #: Makes the covariance of the nearest 75 % of normal rows consistent: H / P(chi2_6 <= chi2_4(H)).
 CONSISTENCY = 1.5
 P = len(FLOORS)
+#: Largest value of a statistic (a mean word length of two million); squares are summed in two halves, so that sums stay exact.
+MOST = (1 << 31) - 1
+_HALF = 1 << 20
 WS = r"\x20\x09-\x0D"
 _BINS = 200  # of log(1 + distance) in a unit
 
@@ -75,7 +84,7 @@ def vector() -> list[Column]:
     characters, repeated lines per hundred words and repeated words per hundred words."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     raw = [F.col("word_chars") / words, F.log1p(100 * F.col("n_symbols") / chars), F.log1p(100 * F.col("n_dup_lines") / words), F.log1p(100 * F.col("n_repeat_words") / words)]
-    return [F.round(x * SCALE).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
+    return [F.least(F.round(x * SCALE), F.lit(float(MOST))).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
 def _lower(cov: list[list[Column]], rows: DataFrame) -> DataFrame:
@@ -90,13 +99,30 @@ def _lower(cov: list[list[Column]], rows: DataFrame) -> DataFrame:
     return rows
 
 
-def _estimates(rows: DataFrame, widen: float) -> DataFrame:
-    """Per group ``g``: centre m{i} and Cholesky factor of the covariance, from exact integer sums."""
-    sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)]
-    out = rows.groupBy("g").agg(*sums)
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def _covariances(rows: DataFrame, widen: float) -> DataFrame:
+    """Per group ``g``: rows n, centre m{i} and covariance c{i}{j} with floors, from exact integer sums."""
+    high = lambda i, j: F.sum(F.floor(F.col(f"x{i}") * F.col(f"x{j}") / _HALF).cast("long"))
+    low = lambda i, j: F.sum(F.col(f"x{i}") * F.col(f"x{j}") - F.floor(F.col(f"x{i}") * F.col(f"x{j}") / _HALF).cast("long") * _HALF)
+    sums = [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [x.alias(f"{k}{i}_{j}") for i, j in _PAIRS for k, x in (("h", high(i, j)), ("s", low(i, j)))]
     mean = [F.col(f"s{i}") / F.col("n") for i in range(P)]
-    cov = [[(F.col(f"s{i}_{j}") / F.col("n") - mean[i] * mean[j]) * widen + (F.lit((FLOORS[i] * SCALE) ** 2) if i == j else 0) for j in range(i + 1)] for i in range(P)]
-    return _lower(cov, out.withColumns({f"m{i}": mean[i] for i in range(P)})).select("g", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+    second = {(i, j): (F.col(f"h{i}_{j}") * float(_HALF) + F.col(f"s{i}_{j}")) / F.col("n") for i, j in _PAIRS}
+    floor = lambda i, j: F.lit((FLOORS[i] * SCALE) ** 2 if i == j else 0.0)
+    out = rows.groupBy("g").agg(*sums)
+    return out.select("g", "n", *(mean[i].alias(f"m{i}") for i in range(P)), *(((second[i, j] - mean[i] * mean[j]) * widen + floor(i, j)).alias(f"c{i}{j}") for i, j in _PAIRS))
+
+
+def _factored(rows: DataFrame, *keep: str | Column) -> DataFrame:
+    """m{i} and l{i}{j} from m{i} and c{i}{j}."""
+    cov = [[F.col(f"c{i}{j}") for j in range(i + 1)] for i in range(P)]
+    return _lower(cov, rows).select(*keep, *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in _PAIRS))
+
+
+def _estimates(rows: DataFrame, widen: float) -> DataFrame:
+    """Per group ``g``: centre m{i} and Cholesky factor of the covariance."""
+    return _factored(_covariances(rows, widen), "g")
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -120,19 +146,38 @@ def _distance() -> Column:
 
 
 def mcd(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The estimate of every group of ``rows(g, x0..)``, which should be a written table. Groups are as many as sources, so the
-    estimates are small; Spark broadcasts them only below its own size bound."""
-    est = scratch.put(_start(rows), "start")
+    """(g, n, m{i}, c{i}{j}) of every group of ``rows(g, x0..)``, which should be a written table; n counts all the group's rows. Groups are
+    as many as sources, so the estimates are small; Spark broadcasts them only below its own size bound."""
+    xs = [f"x{i}" for i in range(P)]
+    sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
+    starts = _start(rows).withColumn("start", F.lit(0)).unionByName(_estimates(rows, 1.0).withColumn("start", F.lit(1)))
+    est = scratch.put(starts, "starts")
     for step in range(STEPS):
-        near = scratch.put(rows.join(est, "g").select("g", *(f"x{i}" for i in range(P)), F.floor(F.log1p(_distance()) * _BINS).cast("long").alias("q")), "distances")
-        bound = near.groupBy("g").agg(F.percentile("q", F.lit(H)).alias("bound"))
-        inside = near.join(scratch.put(bound, "bounds"), "g").filter("q <= bound")
-        new = scratch.put(_estimates(inside, CONSISTENCY), "estimates")
-        scratch.free(near, est)
-        est = new
+        near = rows.join(est, "g").select(F.struct("g", "start").alias("g"), *xs, F.floor(F.log1p(_distance()) * _BINS).cast("long").alias("q"))
+        bound = scratch.put(near.groupBy("g").agg(F.percentile("q", F.lit(H)).alias("bound")), "bounds")
+        new = _covariances(near.join(bound, "g").filter("q <= bound"), CONSISTENCY)
+        if step + 1 < STEPS:
+            made = scratch.put(_factored(new, F.col("g.g").alias("g"), F.col("g.start").alias("start")), "estimates")
+        else:
+            cov = [f"c{i}{j}" for i, j in _PAIRS]
+            size = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, P)), F.log(F.col("l00")))
+            last = _lower([[F.col(f"c{i}{j}") for j in range(i + 1)] for i in range(P)], new).select("g", F.struct(size.alias("det"), F.col("g.start").alias("start"), *(f"m{i}" for i in range(P)), *cov).alias("e"))
+            best = last.groupBy(F.col("g.g").alias("g")).agg(F.min("e").alias("e"))
+            made = scratch.put(best.join(sizes, "g").select("g", F.col("size").alias("n"), *(f"e.m{i}" for i in range(P)), *(f"e.{c}" for c in cov)), "estimates")
+        scratch.free(est, bound)
+        est = made
     return est
 
 
+def _drawn(own: DataFrame, wider: DataFrame, key: str) -> DataFrame:
+    """``own(key, g, n, m, c)`` drawn towards ``wider(key, m, c)``, which counts as PRIOR rows."""
+    values = [f"m{i}" for i in range(P)] + [f"c{i}{j}" for i, j in _PAIRS]
+    both = own.join(wider.select(key, *(F.col(v).alias(f"w_{v}") for v in values)), key)
+    rest = [c for c in own.columns if c not in values]
+    share = 1.0 / (1.0 + F.pow(PRIOR / F.col("n"), 2))
+    return both.select(*rest, *((F.col(v) * share + F.col(f"w_{v}") * (1 - share)).alias(v) for v in values))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, the five counts, base_failed, distance (null where the base rule fails) and kept, one row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "quality")
@@ -142,24 +187,18 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     stats = text_statistics(own, "doc_id", "lang", "source").withColumn("base_failed", base_failed())
     stats = scratch.put(stats.select("*", *vector()), "statistics")
-    sizes = stats.filter("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    sizes = scratch.put(sizes, "sizes")
-    tongues = sizes.groupBy("lang").agg(F.sum("rows").alias("lang_rows"))
-    pool = F.when(F.col("lang_rows") >= LEAST_ROWS, F.concat(F.lit("pool "), "lang")).otherwise(F.lit("all"))
-    names = sizes.join(tongues, "lang").select("lang", "source", F.when(F.col("rows") >= LEAST_ROWS, F.col("source")).otherwise(pool).alias("g"))
-    names = scratch.put(names, "names")
-    # a row counts in its source's own estimate and in those of the pools that some small source asks for
-    own_group = names.select("source", F.col("g").alias("to")).filter("`to` = source")
-    of_lang = names.join(names.filter("g = concat('pool ', lang)").select("lang").distinct(), "lang", "left_semi").select("source", F.concat(F.lit("pool "), "lang").alias("to"))
-    of_all = names.select("source").crossJoin(names.filter("g = 'all'").select(F.col("g").alias("to")).distinct())
-    counts_in = scratch.put(own_group.unionByName(of_lang).unionByName(of_all).groupBy("source").agg(F.collect_list("to").alias("to")), "memberships")
-    vectors = stats.filter("not base_failed").select("source", *(f"x{i}" for i in range(P)))
-    judged = scratch.put(vectors.join(counts_in, "source").select(F.explode("to").alias("g"), *(f"x{i}" for i in range(P))), "judged")
+    xs = [f"x{i}" for i in range(P)]
+    passed = stats.filter("not base_failed")
+    judged = passed.select(F.explode(F.array(F.concat(F.lit("s"), "source"), F.concat(F.lit("l"), "lang"), F.lit("a"))).alias("g"), *xs)
     est = mcd(judged, scratch)
-    scratch.free(judged)
-    finals = scratch.put(names.join(est, "g").drop("g", "lang"), "finals")
+    names = scratch.put(passed.select("lang", "source").distinct(), "names")
+    whole = est.filter("g = 'a'").withColumn("all", F.lit(1))
+    tongues = names.select("lang").distinct().join(est, F.concat(F.lit("l"), "lang") == F.col("g")).withColumn("all", F.lit(1))
+    sources = names.join(est, F.concat(F.lit("s"), "source") == F.col("g"))
+    finals = scratch.put(_factored(_drawn(sources, _drawn(tongues, whole, "all"), "lang"), "source"), "finals")
     out = stats.join(finals, "source", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUTOFF)
+    scratch.free(est, names)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 

@@ -198,7 +198,7 @@ def test_outliers(spark):
     got = quality_mcd.op3_quality_mcd(spark, df).collect()
     kept = {x.doc_id: x.kept for x in got}
     assert len(got) == len(rows) and all(kept[k] for k in [*range(300), 304, None]) and not any(kept[k] for k in (300, 301, 302))
-    assert kept[303]  # its pool is too small to be judged
+    assert not kept[303]  # the only row of its source, judged as its language
     again = quality_mcd.op3_quality_mcd(spark, df.repartition(7)).collect()
     assert {x.doc_id: x.distance for x in got} == {x.doc_id: x.distance for x in again}
     assert quality_mcd.op3_quality_mcd(spark, df.limit(0)).count() == 0
@@ -218,10 +218,76 @@ def test_estimate_equals_numpy(spark):
     assert np.allclose([v.d for v in d], np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y))
 
 
+def plain_mcd(x):
+    """Centre, covariance and number of rows of one group, by both starts."""
+    floors, n = np.array(quality_mcd.FLOORS) * 1000, len(x)
+    def cov(rows, widen):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(4, 4) * widen + np.diag(floors**2)
+    mid = np.percentile(x, 50, axis=0)
+    starts = [(mid, np.diag((np.percentile(abs(x - mid), 50, axis=0) * 1.4826) ** 2 + floors**2)), cov(x, 1.0)]
+    best = []
+    for m, c in starts:
+        for _ in range(quality_mcd.STEPS):
+            q = np.floor(np.log1p(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) * 200)
+            m, c = cov(x[q <= np.percentile(q, 75)], quality_mcd.CONSISTENCY)
+        best.append((np.linalg.slogdet(c)[1], m, c))
+    return n, *min(best, key=lambda b: b[0])[1:]
+
+
+def plain_drawn(own, wider):
+    (n, m, c), (_, wm, wc) = own, wider
+    share = n * n / (n * n + quality_mcd.PRIOR**2)
+    return n, m * share + wm * (1 - share), c * share + wc * (1 - share)
+
+
+def test_verdicts_against_brute_force(spark):
+    r = random.Random(9)
+    def text(k):
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(r.randint(22, 120))]
+        for _ in range(r.choice((0, 0, 0, 1, 3, 40))):
+            words[r.randrange(len(words))] += "$%"
+        return "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\nsame line" * r.choice((0, 0, 0, 2, 30))
+    rows = [(k, text(k), "en" if k % 4 else "de", r.choice(("a", "a", "a", "b", "b", f"rare{k % 5}"))) for k in range(600)]
+    got = {x.doc_id: x for x in quality_mcd.judge(spark.createDataFrame([(*x, 0, "", 0, 0) for x in rows], DOCS)).collect()}
+    vectors = {}
+    for k, t, lang, source in rows:
+        n, chars, symbols, lines, again, failed = plain_statistics(t)
+        if not failed:
+            raw = (chars / n, np.log1p(100 * symbols / chars), np.log1p(100 * lines / n), np.log1p(100 * again / n))
+            vectors[k] = (lang, source, np.floor(np.array(raw) * 1000 + 0.5))
+    group = lambda pick: plain_mcd(np.array([x for *_, x in filter(pick, vectors.values())]))
+    whole = group(lambda v: True)
+    tongues = {a: plain_drawn(group(lambda v: v[0] == a), whole) for a in ("en", "de")}
+    finals = {(a, b): plain_drawn(group(lambda v: v[:2] == (a, b)), tongues[a]) for a, b in {v[:2] for v in vectors.values()}}
+    rejected = 0
+    for k, x in got.items():
+        assert x.base_failed == (k not in vectors)
+        if k in vectors:
+            a, b, v = vectors[k]
+            _, m, c = finals[a, b]
+            d = (v - m) @ np.linalg.inv(c) @ (v - m)
+            assert abs(x.distance - d) <= 1e-6 * max(1, d) and x.kept == (d <= quality_mcd.CUTOFF)
+            rejected += not x.kept
+    assert 10 < rejected < 300 and len(finals) > 10
+
+
+def test_huge_words_do_not_overflow(spark):
+    rows = [(k, " ".join(["w" * 100_000] * 3 + [f"v{j}" for j in range(17)]) if k < 3 else " ".join(f"w{j}{k}" for j in range(30)), "en", "s", 0, "", 0, 0) for k in range(40)]
+    got = quality_mcd.op3_quality_mcd(spark, spark.createDataFrame(rows, DOCS)).collect()
+    assert {x.doc_id for x in got if not x.kept} == {0, 1, 2}
+    big = spark.createDataFrame([("g", quality_mcd.MOST, 0, 0, 0)] * 9, "g string, x0 long, x1 long, x2 long, x3 long")
+    assert quality_mcd._covariances(big, 1.0).first().m0 == quality_mcd.MOST
+
+
 def test_quality_runs_no_python(spark, data, capsys):
-    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("text", quality_mcd.F.coalesce("text", quality_mcd.F.lit("")))
-    quality_mcd.text_statistics(docs, "doc_id").explain()
+    """Neither the query's own plan nor that of any table it wrote on the way."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    quality_mcd.op3_quality_mcd(spark, docs).explain()
+    assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+    quality_mcd.text_statistics(docs.withColumn("text", quality_mcd.F.coalesce("text", quality_mcd.F.lit(""))), "doc_id").explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+    source = open(quality_mcd.__file__).read()
+    assert not re.search(r"udf|mapIn|applyIn|pandas|\.rdd|toPandas|\.collect\(|toArrow", source.split('"""', 2)[2])
 
 
 def test_small_sources_and_languages_are_judged(spark):
