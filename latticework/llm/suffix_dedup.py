@@ -7,11 +7,11 @@ position wherever it stands, so equal passages meet at suffixes that share K wor
 1. positions are grouped by a 64-bit key of their first K words, and those whose key stands in one document alone fall out, which is
    nearly all; equal keys are only candidates, words are compared later;
 2. the suffixes left carry the words on both sides that passages selected by them can reach, at most WINDOW - 1 before and LEAST behind.
-   Suffixes with equal words around them are one (by a 128-bit cryptographic digest). They are sorted by their words in range partitions,
-   and each is compared word by word with its neighbour. Inside a stretch of suffixes that share K words, passages that reach left by
-   o words are equal where the suffixes share LEAST - o words (a run of neighbours) and the o words before them: matches are
-   extended to the left in this way, for every o;
-3. a stretch at the border of a partition may go on in the next one, so its passages are grouped by the digest of their words instead.
+   Suffixes with equal words around them are one (by a 128-bit cryptographic digest). They are sorted in range partitions, by the key
+   of their first K words and then by their words, and each is compared word by word with its neighbour. Inside a stretch of
+   suffixes that share K words, passages that reach left by o words are equal where the suffixes share LEAST - o words (a run of
+   neighbours) and the o words before them: matches are extended to the left in this way, for every o;
+3. a key at the border of a partition may go on in the next one, so its passages are grouped by the digest of their words instead.
    A passage that stands in a third of all documents fills whole partitions and is resolved by that aggregate, in parts.
 
 Of each class of equal passages of LEAST words the first occurrence (smallest id, then place) is the representative; all
@@ -110,7 +110,7 @@ def _suffixes(key_bits: int):
     return run
 
 
-_OCCURRENCE = "ctx binary, doc_id long, mark long, place int, low int, high int, left binary, right binary"
+_OCCURRENCE = "ctx binary, key long, doc_id long, mark long, place int, low int, high int, left binary, right binary"
 
 
 def _joined(words: list[bytes]) -> bytes:
@@ -124,14 +124,14 @@ def _occurrences(batches):
     _memory.enter()
     sent: set[bytes] = set()
     for b in batches:
-        cols: list[list] = [[] for _ in range(8)]
+        cols: list[list] = [[] for _ in range(9)]
         for doc_id, mark, text, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "mark")), b.column("text").cast(pa.binary()), b.column("places")):
             words = text.as_py().split()
             (k,) = run_keys(words, K)
             where = minimisers(k)
             places = np.sort(at.values.to_numpy())
             begin, end = np.searchsorted(where, places), np.searchsorted(where, places, "right")
-            for p, s, e in zip(places.tolist(), begin.tolist(), end.tolist()):
+            for p, key, s, e in zip(places.tolist(), k[places].view(np.int64).tolist(), begin.tolist(), end.tolist()):
                 low, high = p - e + 1, p - s
                 left, right = _joined(words[p - high : p]), _joined(words[p : p + LEAST - low])
                 ctx = hashlib.blake2b(b"%d %d " % (low, high) + left + right, digest_size=16).digest()
@@ -141,9 +141,9 @@ def _occurrences(batches):
                     if len(sent) > 200_000:  # only a saving
                         sent.clear()
                     sent.add(ctx)
-                for c, x in zip(cols, (ctx, doc_id, mark, p, low, high, left, right)):
+                for c, x in zip(cols, (ctx, key, doc_id, mark, p, low, high, left, right)):
                     c.append(x)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in _OCCURRENCE.split(", ")])
 
 
@@ -212,7 +212,7 @@ def _open(rows: list[_Suffix], out: list[list]) -> None:
 
 
 def _neighbours(batches):
-    """Sorted suffixes of one partition: (ctx, range of offsets, representative), or open windows at the partition's ends."""
+    """Sorted suffixes of one partition: (ctx, range of offsets, representative); open windows for its first key and its last."""
     kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
     names = [x.split()[0] for x in _FOUND.split(", ")]
     cols: list[list] = [[] for _ in kinds]
@@ -223,23 +223,34 @@ def _neighbours(batches):
             c.clear()
         return made
 
-    stretch: list[_Suffix] = []
-    inside = False  # whether the stretch began in this partition
+    def close(rows: list[_Suffix]) -> None:
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i < len(rows):
+                rows[i].compare(rows[i - 1])
+            if i == len(rows) or rows[i].shared < K:
+                _stretch(rows[start:i], cols)
+                start = i
+
+    rows: list[_Suffix] = []
+    key, first_key = None, True
     for b in batches:
         firsts = zip(*(b.column(c).to_pylist() for c in ("doc_id", "place", "mark")))
-        for ctx, low, high, last, left, right, first in zip(*(b.column(c).to_pylist() for c in ("ctx", "low", "high", "last", "left", "right")), firsts):
-            row = _Suffix(ctx, low, high, first, last, left, right)
-            if stretch:
-                row.compare(stretch[-1])
-                if row.shared < K or (not inside and len(stretch) >= 1000):
-                    (_stretch if inside else _open)(stretch, cols)
-                    inside = row.shared < K
-                    stretch = []
-                    if len(cols[0]) > 5000:
-                        yield batch()
-            stretch.append(row)
-    if stretch:
-        _open(stretch, cols)
+        for own, ctx, low, high, last, left, right, first in zip(*(b.column(c).to_pylist() for c in ("key", "ctx", "low", "high", "last", "left", "right")), firsts):
+            if key is not None and own != key:
+                if first_key:
+                    _open(rows, cols)
+                else:
+                    close(rows)
+                rows, first_key = [], False
+            elif first_key and len(rows) >= 1000:
+                _open(rows, cols)
+                rows = []
+            key = own
+            rows.append(_Suffix(ctx, low, high, first, last, left, right))
+            if len(cols[0]) > 5000:
+                yield batch()
+    _open(rows, cols)
     yield batch()
 
 
@@ -285,9 +296,10 @@ def repeated_passages(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id",
     seen = scratch.put(marked.join(places, ["doc_id", "mark"]).mapInArrow(_occurrences, _OCCURRENCE), "occurrences")
     scratch.free(places)
     first = F.min(F.struct("doc_id", "place", "mark")).alias("first")
-    contexts = seen.groupBy("ctx").agg(first, F.max("doc_id").alias("last"), *(F.max(c).alias(c) for c in ("low", "high", "left", "right")))
-    contexts = scratch.put(contexts.select("ctx", "first.doc_id", "first.place", "first.mark", "last", "low", "high", "left", "right"), "contexts")
-    sorted_ = contexts.repartitionByRange("right", "ctx").sortWithinPartitions("right", "ctx")
+    contexts = seen.groupBy("ctx").agg(first, F.max("doc_id").alias("last"), *(F.max(c).alias(c) for c in ("key", "low", "high", "left", "right")))
+    contexts = scratch.put(contexts.select("ctx", "key", "first.doc_id", "first.place", "first.mark", "last", "low", "high", "left", "right"), "contexts")
+    # what the driver samples for the ranges is a key and a digest for each row, not words
+    sorted_ = contexts.repartitionByRange("key", "ctx").sortWithinPartitions("key", "right", "ctx")
     found = scratch.put(sorted_.mapInArrow(_neighbours, _FOUND), "neighbours")
     scratch.free(contexts)
     rep = F.struct("rep_doc", "rep_place", "rep_mark")
