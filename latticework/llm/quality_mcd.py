@@ -45,6 +45,8 @@ P = len(FLOORS)
 #: Largest value of a statistic (a mean word length of two million); squares are summed in two halves, so that sums stay exact.
 MOST = (1 << 31) - 1
 _HALF = 1 << 20
+#: The whole table is one group and a source may hold a third of it: rows of a group are dealt over so many parts to meet its estimate.
+SALTS = 64
 WS = r"\x20\x09-\x0D"
 _BINS = 200  # of log(1 + distance) in a unit
 
@@ -125,10 +127,15 @@ def _estimates(rows: DataFrame, widen: float) -> DataFrame:
     return _factored(_covariances(rows, widen), "g")
 
 
+def _meet(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """``rows(g, salt, ..)`` with the columns of their group in ``small(g, ..)``, which is repeated for each salt."""
+    return rows.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "salt"])
+
+
 def _start(rows: DataFrame) -> DataFrame:
     """Per group the medians and, from them, a diagonal factor by the median absolute deviations."""
     medians = rows.groupBy("g").agg(*(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(P)))
-    off = rows.join(medians, "g").select("g", *(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)))
+    off = _meet(rows, medians).select("g", *(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)))
     spread = off.groupBy("g").agg(*(F.percentile(f"a{i}", F.lit(0.5)).alias(f"a{i}") for i in range(P)))
     scale = lambda i: F.sqrt(F.pow(F.col(f"a{i}") * 1.4826, 2) + (FLOORS[i] * SCALE) ** 2)
     return medians.join(spread, "g").select("g", *(f"m{i}" for i in range(P)), *((scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
@@ -146,16 +153,16 @@ def _distance() -> Column:
 
 
 def mcd(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, n, m{i}, c{i}{j}) of every group of ``rows(g, x0..)``, which should be a written table; n counts all the group's rows. Groups are
+    """(g, n, m{i}, c{i}{j}) of every group of ``rows(g, salt, x0..)``, which should be a written table; n counts all the group's rows. Groups are
     as many as sources, so the estimates are small; Spark broadcasts them only below its own size bound."""
     xs = [f"x{i}" for i in range(P)]
     sizes = rows.groupBy("g").agg(F.count("*").alias("size"))
     starts = _start(rows).withColumn("start", F.lit(0)).unionByName(_estimates(rows, 1.0).withColumn("start", F.lit(1)))
     est = scratch.put(starts, "starts")
     for step in range(STEPS):
-        near = rows.join(est, "g").select(F.struct("g", "start").alias("g"), *xs, F.floor(F.log1p(_distance()) * _BINS).cast("long").alias("q"))
+        near = _meet(rows, est).select(F.struct("g", "start").alias("g"), "salt", *xs, F.floor(F.log1p(_distance()) * _BINS).cast("long").alias("q"))
         bound = scratch.put(near.groupBy("g").agg(F.percentile("q", F.lit(H)).alias("bound")), "bounds")
-        new = _covariances(near.join(bound, "g").filter("q <= bound"), CONSISTENCY)
+        new = _covariances(_meet(near, bound).filter("q <= bound"), CONSISTENCY)
         if step + 1 < STEPS:
             made = scratch.put(_factored(new, F.col("g.g").alias("g"), F.col("g.start").alias("start")), "estimates")
         else:
@@ -189,7 +196,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = scratch.put(stats.select("*", *vector()), "statistics")
     xs = [f"x{i}" for i in range(P)]
     passed = stats.filter("not base_failed")
-    judged = passed.select(F.explode(F.array(F.concat(F.lit("s"), "source"), F.concat(F.lit("l"), "lang"), F.lit("a"))).alias("g"), *xs)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")
+    judged = passed.select(F.explode(F.array(F.concat(F.lit("s"), "source"), F.concat(F.lit("l"), "lang"), F.lit("a"))).alias("g"), salt, *xs)
     est = mcd(judged, scratch)
     names = scratch.put(passed.select("lang", "source").distinct(), "names")
     whole = est.filter("g = 'a'").withColumn("all", F.lit(1))
