@@ -21,7 +21,9 @@ any other; a null url is written as ``about:blank``; an empty table gives no row
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -36,6 +38,7 @@ from .common import Scratch, ship
 
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 20_000
+FILE_BYTES = 256 << 20  # of payloads in an archive file, on average
 FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length")}
 SPEC = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -218,8 +221,14 @@ def warc_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, body).cast("string").alias("value"))
 
 
-def write_warc(rows: DataFrame, path: str) -> None:
-    warc_lines(rows).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_warc(rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+    warc_lines(rows).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def records_per_file(records: DataFrame) -> int:
+    """As many records of mean size as make FILE_BYTES, RECORDS_PER_FILE at most."""
+    mean = records.agg(F.avg("payload_bytes").alias("mean")).first().mean or 0
+    return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + 1024))))
 
 
 def inflate(data: bytes) -> bytes:
@@ -235,22 +244,27 @@ def inflate(data: bytes) -> bytes:
 
 
 def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of an uncompressed WARC file."""
+    """(headers with lower-case names, block) of each record of a WARC file, plain or gzip of one or many members; one record is
+    unpacked at a time."""
+    source = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     at = 0
-    while at < len(data):
-        end = data.find(END, at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no record at {at}")
-        headers = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            key, _, value = line.partition(":")
+    while first := source.readline():
+        headers, size, line = {}, len(first), b""
+        while True:
+            line = source.readline()
+            size += len(line)
+            if line in (b"\r\n", b""):
+                break
+            key, _, value = line.decode("utf-8", "replace").partition(":")
             headers[key.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != END:
+        if not first.startswith(b"WARC/") or not line:
+            raise ValueError(f"no record at {at}")
+        n = int(headers["content-length"])
+        block = source.read(n)
+        if len(block) != n or source.read(len(END)) != END:
             raise ValueError(f"record at {at} is cut off")
         yield headers, block
-        at = end + 8 + size
+        at += size + n + len(END)
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, uri string, date string"
@@ -260,7 +274,7 @@ def _read(batches):
     for b in batches:
         for content in b.column("content"):
             cols: list[list] = [[] for _ in range(8)]
-            for h, block in read_records(inflate(content.as_py())):
+            for h, block in read_records(content.as_py()):
                 digest, size = h["warc-payload-digest"].removeprefix("sha1:"), int(h["x-payload-length"])
                 if h["warc-type"] == "response":
                     payload = split_http(block)[1]
@@ -283,6 +297,6 @@ def op4_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "warc")
     records = scratch.put(records_of(pages), "records")
     path = scratch.path("warc")
-    write_warc(with_revisits(records, scratch), path)
+    write_warc(with_revisits(records, scratch), path, records_per_file(records))
     scratch.free(records)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

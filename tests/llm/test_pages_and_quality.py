@@ -300,3 +300,22 @@ def test_small_sources_and_languages_are_judged(spark):
     got = {x.doc_id: x for x in quality_mcd.op3_quality_mcd(spark, spark.createDataFrame([(*x, 0, "", 0, 0) for x in rows], DOCS)).collect()}
     assert len(got) == len(rows) and all((x.distance is None) == x.base_failed for x in got.values())
     assert {k for k, x in got.items() if not x.kept} == {200, 201, 202, 204}
+
+
+def test_large_records_make_smaller_files_and_damage_is_found(spark, monkeypatch):
+    from latticework.llm.common import Scratch
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 3_000_000)
+    r = random.Random(3)
+    rows = [(k, f"http://h/{k}", "".join(r.choice("abcdef") for _ in range(1_000_000))) for k in range(7)]
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    assert Counter(tuple(x) for x in warc.op4_warc(spark, df).collect()) == plain_warc(rows)
+    scratch = Scratch(spark, "test")
+    records, path = scratch.put(warc.records_of(df), "records"), scratch.path("warc")
+    warc.write_warc(warc.with_revisits(records, scratch), path, warc.records_per_file(records))
+    files = [bytes(x.content) for x in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) >= 3 and sum(len(list(warc.read_records(f))) for f in files) == 7
+    plain = warc.inflate(files[0])
+    for broken in (plain[:-4], plain[:-10], plain[5:], plain.replace(b"WARC/1.0", b"XXXX/1.0", 1)):
+        with pytest.raises(ValueError):
+            list(warc.read_records(broken))
