@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import WorkerMemory, id_and_text, parts_of, ship
 
 MARK = "▁"
-_KEEP = 80 << 20  # bytes of units that a worker remembers
-_PAIRS = 100_000  # pairs of tokens that it remembers
+_KEEP = 160 << 20  # bytes of units that a worker remembers
+_PAIRS = 300_000  # pairs of tokens that it remembers
 _SHORT = 32
 _NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -302,11 +302,10 @@ class Codec:
 def codec(data: bytes) -> Codec:
     """One codec for each model in each worker process, so that what it remembers outlives a task."""
     key = hashlib.sha256(data).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(read_model(data))
-    _codecs[key].memory.enter()
-    return _codecs[key]
+    c = _codecs.get(key) or Codec(read_model(data))
+    c.memory.enter()  # another model's codec goes here
+    _codecs[key] = c
+    return c
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

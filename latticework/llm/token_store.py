@@ -162,11 +162,10 @@ def spaced(text: str) -> str:
 def encoder(data: bytes) -> WordEncoder:
     """One encoder for a tokenizer's file in each worker process, so that what it remembers outlives a task."""
     key = hashlib.sha256(data).digest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordEncoder(data)
-    _encoders[key].memory.enter()
-    return _encoders[key]
+    enc = _encoders.get(key) or WordEncoder(data)
+    enc.memory.enter()  # another tokenizer's encoder goes here
+    _encoders[key] = enc
+    return enc
 
 
 # ---- chunks
