@@ -14,7 +14,7 @@ def test_stages_take_effect_and_keep_the_columns(spark, data):
     import corpus_pipeline as p
     from latticework.llm import decontam
 
-    from .test_near_and_repeats import plain_components, plain_fingerprint, plain_matches
+    from .test_near_and_repeats import plain_copies, plain_matches
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, before = docs.columns, docs
@@ -28,7 +28,7 @@ def test_stages_take_effect_and_keep_the_columns(spark, data):
     a, b = seen["toxicity"]
     assert all(a[i] == b[i] for i in b) and len(b) >= 0.8 * len(a)
     a, b = seen["simhash"]
-    comp = plain_components([(i, plain_fingerprint(r.text)) for i, r in a.items()])
+    comp = plain_copies([(i, r.text) for i, r in a.items()])
     assert b == {i: r for i, r in a.items() if comp[i] == i}
     a, b = seen["suffixes"]
     found = plain_matches([(i, r.text) for i, r in a.items()])
@@ -45,3 +45,19 @@ def test_stages_take_effect_and_keep_the_columns(spark, data):
     assert {i: (r.n_tokens, r.ids_sha256) for i, r in last.items()} == {i: (len(x := sp.encode(r.text or "")), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for i, r in b.items()}
     whole = rows(p.run(spark, data))
     assert {i: r.ids_sha256 for i, r in whole.items()} == {i: r.ids_sha256 for i, r in last.items()}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_the_whole_run_on_odd_rows_and_empty_tables(spark, tmp_path, empty):
+    """Nulls in any column, empty, very long and repeated texts, and a column under a name used inside."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, "a few plain words of one text", "en", "s", 29, "x"), (1, "a few plain words of one text", "en", "s", 29, "x"), (2, None, None, None, None, None), (None, None, None, None, None, None), (3, "", "en", "", 0, "x"), (4, long, "de", "s", len(long), "x"), (5, f"other start {long}", "de", "s", 0, "x")]
+    docs = "doc_id long, text string, lang string, source string, n_chars long, _lw_score string"
+    tables = {"documents": (rows, docs), "labels": ([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, "Some question here? Its answer."), (None, None)], "item_id long, text string")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame([] if empty else data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [r.doc_id for r in p.run(spark, str(tmp_path)).collect()]
+    # 2 and 3 equal each other, 5 is a near copy of 4; rows without an id are never removed as copies
+    assert sorted(got, key=str) == ([] if empty else [1, 1, 2, 4, None])
