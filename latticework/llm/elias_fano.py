@@ -47,11 +47,12 @@ class EliasFano:
         """For each x the index of the first element that is not smaller (n if there is none)."""
         if self._ends is None:  # of each bucket: the number of elements up to its end
             zeros = np.flatnonzero(np.unpackbits(np.asarray(self.high), bitorder="little") == 0)
-            self._ends = (zeros - np.arange(len(zeros))).astype(np.int64)
+            zeros -= np.arange(len(zeros))
+            self._ends = zeros.astype(np.int32 if self.n < 1 << 31 else np.int64)
         x = np.asarray(x, np.uint64)
         h = np.minimum((x >> np.uint64(self.bits)).astype(np.int64), len(self._ends) - 1)
-        lo = np.where(h > 0, self._ends[np.maximum(h - 1, 0)], 0)
-        hi = np.minimum(self._ends[h], self.n)
+        lo = np.where(h > 0, self._ends[np.maximum(h - 1, 0)], 0).astype(np.int64)
+        hi = np.minimum(self._ends[h], self.n).astype(np.int64)
         want = x & np.uint64((1 << self.bits) - 1)
         open_ = np.flatnonzero(lo < hi)
         while len(open_):

@@ -205,6 +205,49 @@ def test_language_model_against_plain_counts(spark, data, monkeypatch, short, sh
         assert abs(r.base_score - base) < 1e-6 and abs(r.score - score) < 0.004 * n
 
 
+@pytest.mark.parametrize("named,shard", [(None, 60_000), (40, 400), (300, 5000), (1, 3_000_000)])
+def test_language_model_keeps_contexts_of_every_word(spark, data, monkeypatch, named, shard):
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", shard)
+    if named is None:  # more words than ids, under the module's own settings; each twice, in the same surroundings
+        own = [" ".join(f"w{k}" for k in range(i, i + 2500)) for i in range(0, 150_000, 2500)]
+        rows = list(enumerate(own + own[::-1] + ["w7 w8 w9 unseen w149000 w149001 w5", "w140000 w140001 " * 30]))
+    else:  # most words by their hash
+        monkeypatch.setattr(ngram_lm, "NAMED", named, raising=False)
+        monkeypatch.setattr(ngram_lm, "PIECE", 50, raising=False)
+        rows = sample(spark, data)[:60] + [(70_000, ""), (70_001, None), (70_002, "unseenword The the THE"), (70_003, "a " * 500), (70_004, "odd1 odd2 odd3 odd1 odd2 odd4")]
+    want = plain_lm(rows, 1 << 40)
+    got = ngram_lm.op7_ngram_lm(spark, table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        held, n, known, total, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert abs(r.base_score - base) < 1e-6 * n and abs(r.score - score) < 0.004 * n
+
+
+def test_ngrams_merge_in_any_steps():
+    r = np.random.default_rng(4)
+
+    def part(n_names, n):
+        names, bits = np.unique(r.integers(0, 1 << 62, n_names).astype(np.uint64)), (ngram_lm.HASHED + n_names).bit_length()
+        v, u, w = (ngram_lm.HASHED + r.integers(-3, len(names), n) for _ in range(3))
+        return names, bits, v << bits | u, w, r.integers(1, 9, n)
+
+    def plain(names, bits, ctx, w, c):
+        word = lambda i: int(i) if i < ngram_lm.HASHED else (int(names[i - ngram_lm.HASHED]),)
+        out = Counter()
+        for x, k, m in zip(ctx.tolist(), w.tolist(), c.tolist()):
+            out[word(x >> bits), word(x & ((1 << bits) - 1)), word(k)] += m
+        return out
+
+    a, b, wide = part(5, 300), part(9, 300), part(2_200_000, 2000)  # the last with ids too wide for one key
+    for parts in ([a, b], [a, b, wide], [a, a, b]):
+        want = sum((plain(*p) for p in parts), Counter())
+        got = ngram_lm.one_of(list(parts))
+        assert plain(*got) == want and len(got[4]) == len(want)
+        steps = ngram_lm.one_of([ngram_lm.one_of(list(parts[:1])), *parts[1:]])
+        assert all((x == y).all() for x, y in zip(got[2:], steps[2:]))
+
+
 def test_language_model_without_training_texts(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     got = ngram_lm.op7_ngram_lm(spark, table(spark, [(held[0], "a b"), (held[1], None)])).collect()
