@@ -1,7 +1,11 @@
 """Near copies by overlap of word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys, each made from ``ROWS`` min hashes: a pair at exactly 0.8 is missed with probability
-(1 - 0.8^4)^40 = 7e-10, a closer one less often. Every candidate is then decided by the exact overlap of the sets.
+First by SimHash, as in ``simhash.py`` but over five-word shingles: texts whose fingerprints are equal or linked by the pigeonring search are
+candidates (of a fingerprint's links three, so that a large group needs no pairs of all with all), and those whose sets overlap by 0.8 are joined.
+
+Three bits pass over most pairs near 0.8, so the texts that are still apart are compared where they share one of ``BANDS`` keys, each made from ``ROWS``
+min hashes: a pair at exactly 0.8 is missed with probability (1 - 0.8^4)^40 = 7e-10, a closer one less often. Every candidate is
+decided by the exact overlap of the sets.
 
 Texts with equal sets are one node. Within a key all nodes are first compared with three of their number, among them the one
 that meets most others, which in a group of copies is close to the text they were made from. Nodes whose key is still split between components after
@@ -19,11 +23,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_and_text, ship
 from .components import connected_components
+from .simhash import pigeonring_links, text_fingerprint
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -64,8 +69,8 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _hashed(name: str, of):
-    """doc_id, node and a list of integers made from each text's set."""
+def _hashed(name: str, of, printed: bool):
+    """doc_id, node and a list of integers made from each text's set; with ``printed`` also the text's SimHash fingerprint."""
 
     def run(batches):
         for whole in batches:
@@ -73,13 +78,36 @@ def _hashed(name: str, of):
                 b = whole.slice(at, 500)
                 sets = [shingle_set(x.as_py()) for x in b.column("text").cast(pa.binary())]
                 nodes = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(nodes), pa.array([of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "node", name])
+                columns = {"doc_id": b.column("doc_id"), "node": pa.array(nodes), name: pa.array([of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))}
+                if printed:
+                    fp = np.fromiter((text_fingerprint(x.as_py(), SHINGLE) for x in b.column("text").cast(pa.binary())), np.uint64, len(sets))
+                    columns["fp"] = pa.array(fp.view(np.int64))
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _with(docs: DataFrame, name: str, of) -> DataFrame:
-    return docs.mapInArrow(_hashed(name, of), f"doc_id long, node long, {name} array<long>")
+def _with(docs: DataFrame, name: str, of, printed: bool = False) -> DataFrame:
+    return docs.mapInArrow(_hashed(name, of, printed), f"doc_id long, node long, {name} array<long>" + ", fp long" * printed)
+
+
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _print_pairs(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``nodes(node, fp)`` by fingerprint: each with the first of its own fingerprint, and the first ones of fingerprints within three bits,
+    of which up to three for each."""
+    prints = scratch.put(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    links = scratch.put(pigeonring_links(prints), "print_links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    some = both.groupBy("a").agg(F.array_distinct(F.array(F.min("b"), F.max("b"), F.min_by("b", F.xxhash64("b")))).alias("b")).select("a", F.explode("b").alias("b"))
+    ends = [prints.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
+    near = some.join(ends[0], "a").join(ends[1], "b").select(*_ordered("x", "y"))
+    equal = nodes.join(prints, "fp").filter("node <> first").select(*_ordered("node", "first"))
+    out = scratch.put(near.unionByName(equal).distinct(), "print_pairs")
+    scratch.free(prints, links)
+    return out
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,29 +147,36 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     scratch = Scratch(spark, "copies")
     texts = id_and_text(docs, id_col, text_col)
-    rows = scratch.put(_with(texts, "bands", band_keys), "signatures")
-    nodes = scratch.put(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "nodes")
+    rows = scratch.put(_with(texts, "bands", band_keys, True), "signatures")
+    nodes = scratch.put(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "nodes")
     weights = nodes.select("node", F.coalesce("rep", F.lit(_NO_ID)).alias("w"))
+    own = nodes.select("node", F.col("node").alias("w"))
+    alike = _print_pairs(nodes.select("node", "fp"), scratch)
     keys = nodes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = scratch.put(keys.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("met")), "live")
     # the sets are larger than the texts, so they are made for texts with a candidate alone, one row of each node
-    some = scratch.put(weights.join(live, "node", "left_semi").select("w").distinct(), "sought")
+    met = live.select("node").unionByName(alike.select(F.explode(F.array("a", "b")).alias("node")))
+    some = scratch.put(weights.join(met, "node", "left_semi").select("w").distinct(), "sought")
     found = texts.join(some, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("w"), "left_semi")
     sets = scratch.put(_with(found, "shingles", lambda s: s).groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
-    keyed = live.select("node", "met", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("h0"), F.min("node").alias("h1"), F.min_by("node", F.xxhash64("node")).alias("h2"))
-    hubs = keyed.join(scratch.put(hubs, "hubs"), "key").select("node", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).filter("node <> hub")
-    pairs = scratch.put(hubs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "hub_pairs")
-    links = scratch.put(_alike(pairs, sets), "hub_links")
-    parts = connected_components(links, nodes.select("node", F.col("node").alias("w")), scratch).withColumnRenamed("w_min", "part")
+    links = scratch.put(_alike(alike, sets), "close_links")
+    close = connected_components(links, own, scratch).withColumnRenamed("w_min", "part")
+    live = scratch.put(live.join(close, "node", "left").withColumn("part", F.coalesce("part", "node")), "apart")
+    keyed = live.select(F.struct("node", "part").alias("x"), "met", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.max_by("x", F.struct("met", "x")).alias("h0"), F.min("x").alias("h1"), F.min_by("x", F.xxhash64("x.node")).alias("h2"))
+    hubs = keyed.join(scratch.put(hubs, "hubs"), "key").select("x", F.explode(F.array_distinct(F.array("h0", "h1", "h2"))).alias("hub")).filter("x.part <> hub.part")
+    pairs = scratch.put(hubs.select(*_ordered("x.node", "hub.node")).distinct().join(alike, ["a", "b"], "left_anti"), "hub_pairs")
+    links = scratch.put(links.unionByName(_alike(pairs, sets)), "hub_links")
+    parts = connected_components(links, own, scratch).withColumnRenamed("w_min", "part")
+    keyed = live.select("node", F.explode("keys").alias("key"))
     placed = scratch.put(keyed.join(parts, "node", "left").select("key", "node", F.coalesce("part", "node").alias("part")), "placed")
     open_ = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 <> p1").select("key")
     left = scratch.put(placed.join(open_, "key", "left_semi").select("node", "part").distinct(), "open")
-    rest = _split_pairs(left, sets, scratch).join(pairs, ["a", "b"], "left_anti")
+    rest = _split_pairs(left, sets, scratch).join(pairs.unionByName(alike), ["a", "b"], "left_anti")
     links = scratch.put(links.unionByName(_alike(rest, sets)), "links")
     classes = connected_components(links, weights, scratch)
     smallest = F.nullif(F.coalesce("w_min", F.coalesce("rep", F.lit(_NO_ID))), F.lit(_NO_ID))
     named = scratch.put(nodes.select("node", "rep").join(classes, "node", "left").select("node", smallest.alias("component_id")), "classes")
-    scratch.free(live, some, sets, pairs, placed, left, links)
+    scratch.free(live, some, sets, alike, pairs, placed, left, links)
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, id_and_text, ship
 from .components import connected_components
-from .near_copies import near_copies
 
 TAU = 3
 SHINGLE = 3
@@ -129,8 +128,10 @@ def op1_simhash(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component of near copies (``near_copies.py``) the rows of the document with the smallest id stay;
-    rows without an id stay too."""
+    """Pipeline stage: of each component of near copies (``near_copies.py``: fingerprints of five-word shingles, then their exact overlap) the rows of
+    the document with the smallest id stay; rows without an id stay too."""
+    from .near_copies import near_copies  # which uses the fingerprints of this module
+
     found = near_copies(docs.select("doc_id", "text"))
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     # a semi join on the id alone: no key is hot, ids being unique or repeated rows of one document

@@ -249,6 +249,28 @@ def test_stage_removes_near_copies_beyond_three_bits(spark):
     assert far and {want[i] for i, _ in texts[15:]} != {14}
 
 
+def test_stage_takes_fingerprints_of_five_words(spark, monkeypatch):
+    """Without the min-hash keys, the pairs within three bits are still found, and decided by their overlap."""
+    import numpy as np
+
+    from latticework.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: np.empty(0, np.int64))
+    r = random.Random(12)
+    texts = []
+    for k in range(0, 80, 2):
+        w = words_text(r, 400, 5000).split()
+        texts.append((k, " ".join(w)))
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(400)] = f"x{r.random()}"
+        texts.append((k + 1, " ".join(w)))
+    texts += [(80, ""), (81, "a b c d e"), (82, "a b c d e " * 2)]
+    fp = {i: simhash.text_fingerprint(t.encode(), near_copies.SHINGLE) for i, t in texts}
+    near = {k + 1 for k in range(0, 80, 2) if (fp[k] ^ fp[k + 1]).bit_count() <= 3}
+    assert 5 < len(near) < 40 and {i for i in near if fp[i] != fp[i - 1]}
+    assert {x.doc_id for x in simhash.keep_one_of_each(table(spark, texts)).collect()} == {i for i, _ in texts} - near
+
+
 def test_stage_finds_all_overlaps_of_a_table(spark, data):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").collect()]
     want = plain_copies(rows)
