@@ -432,22 +432,23 @@ class Trie:
         first = np.flatnonzero(np.concatenate(([True], v2[1:] != v2[:-1]))) if len(v2) else np.empty(0, np.int64)
         words, starts = v2[first], np.append(first, len(v2))
         total = np.add.reduceat(c2, first) if len(first) else np.empty(0, np.int64)
-        of = np.repeat(np.arange(len(words)), np.diff(starts))
+        of = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(starts))
         weight2 = DISCOUNT * np.diff(starts) / np.maximum(total, 1)
         p2 = (c2 - DISCOUNT) / total[of] + weight2[of] * np.where(w2 < len(p1), p1[np.minimum(w2, len(p1) - 1)], 0) if len(k2) else np.empty(0)
+        del own, of, c2
         first3 = np.flatnonzero(np.concatenate(([True], ctx3[1:] != ctx3[:-1]))) if len(ctx3) else np.empty(0, np.int64)
         contexts, n3 = ctx3[first3], np.diff(np.append(first3, len(ctx3)))
         total3 = np.add.reduceat(c3, first3) if len(first3) else np.empty(0, np.int64)
-        of3 = np.repeat(np.arange(len(contexts)), n3)
+        of3 = np.repeat(np.arange(len(contexts), dtype=np.int32), n3)
         weight3 = DISCOUNT * n3 / np.maximum(total3, 1)
-        at2 = np.searchsorted(k2, v3 << bits | w3)
+        at2 = np.searchsorted(k2, v3 << bits | w3).astype(np.int32)
         p3 = (c3 - DISCOUNT) / total3[of3] + weight3[of3] * p2[at2] if len(ctx3) else np.empty(0)
-        vi = np.searchsorted(words, v3)
+        vi = np.searchsorted(words, v3).astype(np.int32)
         span = int(np.diff(starts).max(initial=0)).bit_length()
         self.span, self.bits, self._starts = span, bits, None
         self.q2, self.q3, self.b2, self.b3 = map(quantised, (p2, p3, weight2, weight3))
         triples = of3.astype(np.int64) << span | (at2 - starts[vi])
-        del p2, p3, of, of3, at2, vi, v3, w3, ctx3, k3, c3, total3, weight3
+        del p2, p3, of3, at2, vi, v3, w3, ctx3, k3, c3, total3, weight3
         self.parts = {
             "words": EliasFano.of(words, 1 << bits),
             "starts": EliasFano.of(starts + np.arange(len(starts)), len(k2) + len(starts) + 1),  # strictly increasing; get() takes the index off again
@@ -551,9 +552,12 @@ def _answers(shared):
                 if len(grams) > 1 and fresh > max(2 * SHARD_TOKENS, size_of(grams[0])):  # merge as rows come in
                     grams, fresh = [one_of(grams)], 0
             p = one_of(pairs)
-            names, bits, ctx, w, c = one_of(grams, p[0])
+            names, bits, *g = one_of(grams, p[0])
+            give_back()
             p = one_of([p], names)
-            Trie(ctx, c, (p[2] << bits | p[3], p[4]), lex.p1, w, bits).save(f"{folder}/trie")
+            p = p[2] << bits | p[3], p[4]
+            ctx, w, c = g.pop(0), g.pop(0).astype(np.int32), g.pop(0)
+            Trie(ctx, c, p, lex.p1, w, bits).save(f"{folder}/trie")
             del p, ctx, w, c
             give_back()
             return Trie.load(f"{folder}/trie"), names
