@@ -20,6 +20,7 @@ their content's root; a null id comes before all others; an empty table gives no
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import zlib
@@ -59,7 +60,10 @@ class WordEncoder:
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x250)}
+        put = {b: chr(b) for b in range(0x80)}
+        for c in range(0xA1, 0x250):
+            put.update(zip(chr(c).encode(), as_bytes.pre_tokenize_str(chr(c))[0][0]))
+        self.bytes = "".join(put.get(b, "\ufffe") for b in range(256))  # the character of each byte; U+FFFE: none, an error
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith(_WORD_END)
@@ -70,7 +74,7 @@ class WordEncoder:
         split = pc.split_pattern(pa.array([spaced(t) for t in texts], pa.large_string()), " ")
         words = split.values
         coded = pc.dictionary_encode(words)
-        distinct = coded.dictionary.to_pylist()
+        distinct = objects(coded.dictionary)
         loads = self._ids_of(distinct)
         size = np.fromiter(map(len, loads), np.int64, len(loads)) // 4
         at = coded.indices.to_numpy()
@@ -88,8 +92,13 @@ class WordEncoder:
         for part in parts_of(words):
             self.memory.turn()
             young = self.memory.young
-            self._learn([w for w in part if w not in young])
-            out += map(young.__getitem__, part)
+            found = list(map(young.get, part))
+            if lacks := [k for k, ids in enumerate(found) if ids is None]:
+                missing = [part[k] for k in lacks]
+                self._learn(missing)
+                for k, ids in zip(lacks, map(young.__getitem__, missing)):
+                    found[k] = ids
+            out += found
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -97,8 +106,10 @@ class WordEncoder:
         letters alone are encoded in one string and parted at the tokens that end a word; letters and the signs behind them are put
         together; all others are encoded one by one."""
         young, old, add = self.memory.young, self.memory.old, self.memory.add
-        add({w: old[w] for w in words if w in old})
-        fresh = [w for w in words if w not in young]
+        fresh = words
+        if known := {w: ids for w, ids in zip(words, map(old.get, words)) if ids is not None}:
+            add(known)
+            fresh = [w for w in words if w not in known]
         plain = set(filter(_plain, fresh))
         other, pairs = set(), []
         for w in fresh:
@@ -111,10 +122,11 @@ class WordEncoder:
                 other.add(w[len(stem) :])
             else:
                 other.add(w)
-        joined = sorted((w for w in plain if w not in young), key=str.isascii)
+        joined = [w for w in plain if w not in young]
+        joined = [w for w in joined if not w.isascii()] + [w for w in joined if w.isascii()]
         parts = [joined[lo : lo + _JOINED] for lo in range(0, len(joined), _JOINED)]
         texts = [" ".join(part) for part in parts]
-        found = self.bare.encode_batch_fast([t if t.isascii() else t.translate(self.bytes) for t in texts], add_special_tokens=False)
+        found = self.bare.encode_batch_fast([t if t.isascii() else codecs.charmap_decode(t.encode(), "strict", self.bytes)[0] for t in texts], add_special_tokens=False)
         for part, e in zip(parts, found):
             ids = np.array(e.ids, np.uint32)
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
@@ -138,8 +150,13 @@ _INSIDE = bytes(c for c in _PLAIN if chr(c).isalnum() or chr(c) in " .,")
 _BESIDE = re.compile(r"[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 
 
-def _plain(word: str) -> bool:
-    return word.isalpha() and (word.isascii() or not _ODD.search(word)) and word.lower() == word
+# a match for words of the letters among these that are their own lower case
+_plain = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and not _ODD.search(c) and c.lower() == c) + "]+").fullmatch
+
+
+def objects(column: pa.Array) -> list:
+    """A column of strings or bytes as Python objects, made in one call and not one scalar after the other."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def spaced(text: str) -> str:
@@ -170,7 +187,7 @@ def encoder(data: bytes) -> WordEncoder:
 
 # ---- chunks
 
-_gear = np.random.default_rng(_GEAR_SEED).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
+_gear = np.random.default_rng(_GEAR_SEED).integers(0, 1 << 63, 1 << 16, dtype=np.uint64).astype(np.uint32)
 
 
 def marks(ids: np.ndarray) -> np.ndarray:
@@ -178,11 +195,13 @@ def marks(ids: np.ndarray) -> np.ndarray:
     stand before a document's own do not matter to it."""
     if not len(ids):
         return np.empty(0, np.int64)
-    g = _gear[(ids & 0xFFFF) ^ (ids >> 16)]
-    h = g.copy()
-    for k in range(1, SPAN):
-        h[k:] += g[:-k] << np.uint64(k)
-    return np.flatnonzero((h >> np.uint64(SPAN - 1)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1
+    # the bits that decide are among the lower 32; a sum over 2k ids is one over k and, shifted, that of the k before them
+    h, k = _gear[(ids & 0xFFFF) ^ (ids >> 16)], 1
+    while k < SPAN:
+        before = h[:-k] << np.uint32(k)
+        h[k:] += before
+        k *= 2
+    return np.flatnonzero(h & np.uint32(((1 << MEAN_BITS) - 1) << (SPAN - 1)) == 0) + 1
 
 
 def cuts(n: int, marked: list[int]) -> list[int]:
@@ -264,6 +283,31 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
     return _times(_shift(second_bytes), first) ^ second
 
 
+_tables: list[np.ndarray] = []  # by k: what 2^k further bytes do to each byte of a CRC
+
+
+def _table(k: int) -> np.ndarray:
+    while len(_tables) <= k:
+        by = _shift(1 << len(_tables))
+        made = np.zeros((4, 256), np.uint32)
+        for bit in range(32):
+            at, low = bit // 8, 1 << bit % 8
+            made[at, low : 2 * low] = made[at, :low] ^ np.uint32(_times(by, 1 << bit))
+        _tables.append(made)
+    return _tables[k]
+
+
+def crcs_shifted(crcs: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What n further bytes, one number for each, do to CRCs: a document's is the exclusive or of its chunks' ones, each shifted by
+    the bytes behind it."""
+    out = crcs.astype(np.uint32)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        at = np.flatnonzero(n >> k & 1)
+        t, c = _table(k), out[at]
+        out[at] = t[0][c & 255] ^ t[1][c >> 8 & 255] ^ t[2][c >> 16 & 255] ^ t[3][c >> 24]
+    return out
+
+
 # ---- writing
 
 _PIECES = "kind string, key binary, doc_id long, payload binary, sizes array<int>"
@@ -291,12 +335,13 @@ def _pieces_of(shared, end_id: int):
                 kind, keys, owners, loads, sizes = [], [], [], [], []
                 stream, ends = enc.encode_batch(texts, end_id)
                 marked, ends = marks(stream), ends.tolist()
+                narrow = stream.astype("<u2").tobytes() if int(stream.max(initial=0)) < 1 << 16 else None  # then every chunk's width is 2
                 of = np.searchsorted(marked, ends, "right").tolist()
                 begin = low = 0
                 for doc_id, end, high in zip(doc_ids, ends, of):
                     digests, own, start = [], [], begin
                     for at in cuts(end - begin, (marked[low:high] - begin).tolist()):
-                        payload = pack(stream[start : begin + at])
+                        payload = pack(stream[start : begin + at]) if narrow is None else b"\x02" + narrow[2 * start : 2 * (begin + at)]
                         digest = address(payload)
                         digests.append(digest)
                         own.append(begin + at - start)
@@ -318,12 +363,14 @@ def _without_equal_neighbours(batches):
     """In key order, of equal chunks the first stays; recipes all stay."""
     last = None
     for b in batches:
-        stay = []
-        for kind, key in zip(b.column("kind").to_pylist(), b.column("key").to_pylist()):
-            stay.append(kind == "recipe" or key != last)
-            if kind == "chunk":
-                last = key
-        yield b.filter(pa.array(stay, pa.bool_()))
+        key, chunk = b.column("key"), pc.equal(b.column("kind"), "chunk").to_numpy(zero_copy_only=False)
+        if chunk.any():  # they come before all recipes
+            stay = ~chunk
+            stay[0] |= key[0].as_py() != last
+            stay[1:] |= pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            last = key[int(np.count_nonzero(chunk)) - 1].as_py()
+            b = b if stay.all() else b.filter(pa.array(stay))
+        yield b
 
 
 FAN = 1024  # entries under one node of the manifest
@@ -394,43 +441,49 @@ _RECIPE = "part int, copy int, doc_id long, start long, n_tokens long, digests b
 def _checked_chunks(batches):
     for b in batches:
         n, crc = [], []
-        for key, load in zip(b.column("digest").to_pylist(), b.column("payload").to_pylist()):
+        for key, load in zip(objects(b.column("digest")), objects(b.column("payload"))):
             if address(load) != key:
                 raise ValueError(f"chunk {key.hex()} does not match its digest")
             ids = unpack(load)
             n.append(len(ids))
-            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            crc.append(zlib.crc32(ids.astype("<u4", copy=False)))
         yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
 
 def _recipe_rows(batches):
     """(part, copy, doc_id, start, n_tokens, seq, digest) for each chunk of each recipe; roots are verified."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for part, copy, doc_id, start, n, joined, root in zip(*(b.column(c).to_pylist() for c in ("part", "copy", "doc_id", "start", "n_tokens", "digests", "root"))):
-            digests = _digests(joined)
-            if merkle_root(digests) != root:
+        digests: list[bytes] = []
+        first = [0]
+        for doc_id, joined, root in zip(b.column("doc_id").to_pylist(), objects(b.column("digests")), objects(b.column("root"))):
+            own = _digests(joined)
+            if merkle_root(own) != root:
                 raise ValueError(f"recipe of {doc_id} does not match its root")
-            for seq, d in enumerate(digests):
-                for c, v in zip(out, (part, copy, doc_id, start, n, seq, d)):
-                    c.append(v)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["part", "copy", "doc_id", "start", "n_tokens", "seq", "digest"])
+            digests += own
+            first.append(len(digests))
+        first = np.array(first)
+        of = np.repeat(np.arange(b.num_rows), np.diff(first))
+        cols = [*(b.column(c).take(pa.array(of)) for c in ("part", "copy", "doc_id", "start", "n_tokens")), pa.array((np.arange(len(of)) - first[of]).astype(np.int32)), pa.array(digests, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["part", "copy", "doc_id", "start", "n_tokens", "seq", "digest"])
 
 
 def _documents(batches):
     for b in batches:
-        crcs = []
-        for n, chunks in zip(b.column("n_tokens").to_pylist(), b.column("chunks").to_pylist()):
-            crc = size = 0
-            for c in sorted(chunks, key=lambda c: c["seq"]):
-                if c["n"] is None:
-                    raise ValueError("a recipe names a chunk that is not in the store")
-                crc = crc_join(crc, c["crc"], 4 * c["n"])
-                size += c["n"]
-            if size != n:
-                raise ValueError("a recipe and its chunks differ in length")
-            crcs.append(crc)
+        lists = b.column("chunks")
+        seq, n, crc = lists.flatten().flatten()
+        if n.null_count:
+            raise ValueError("a recipe names a chunk that is not in the store")
+        count = pc.list_value_length(lists).to_numpy()
+        of = np.repeat(np.arange(len(count)), count)
+        order = np.lexsort((seq.to_numpy(), of))
+        n, crc = n.to_numpy().astype(np.int64)[order], crc.to_numpy()[order]
+        behind = np.cumsum(n)  # ids up to each chunk's end; each list has a chunk, as each document has an end id
+        ends = np.cumsum(count) - 1
+        sizes = np.diff(behind[ends], prepend=0)
+        if (sizes != b.column("n_tokens").to_numpy()).any():
+            raise ValueError("a recipe and its chunks differ in length")
+        shifted = crcs_shifted(crc, 4 * (behind[ends][of] - behind))
+        crcs = np.bitwise_xor.reduceat(shifted, ends + 1 - count).astype(np.int64) if len(of) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -141,6 +143,64 @@ def test_equal_runs_share_chunks_and_crcs_join():
     assert token_store.unpack(token_store.pack(big)).tolist() == [5, 70_000]
 
 
+def python_calls(run):
+    """What run gives, and how many Python functions were called for it."""
+    calls = 0
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+    sys.setprofile(count)
+    try:
+        return run(), calls
+    finally:
+        sys.setprofile(None)
+
+
+def test_store_calls_no_function_for_each_word_or_chunk():
+    tok = tokenizers.Tokenizer.from_file(WORD)
+    enc = token_store.encoder(open(WORD, "rb").read())
+    r = random.Random(77)
+    words = ["".join(r.choice("abcdehinorstuäßéœ") for _ in range(12)) for _ in range(20_000)]
+    text = " ".join(words)
+    (ids, _), calls = python_calls(lambda: enc.encode_batch([text]))
+    assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and calls < 2_000
+
+    g = np.random.default_rng(77)
+    streams = [g.integers(0, 49_000, n).astype("<u4") for n in (1, 2, 200, 5_000, *g.integers(1, 3_000, 400).tolist())]
+    rows = []
+    for s in streams:
+        ends = token_store.cuts(len(s), np.sort(g.integers(1, len(s) + 1, len(s) // 150)).tolist())
+        chunks = [{"seq": k, "n": b - a, "crc": zlib.crc32(s[a:b].tobytes())} for k, (a, b) in enumerate(zip([0, *ends], ends))]
+        r.shuffle(chunks)
+        rows.append(chunks)
+    kind = pa.list_(pa.struct([("seq", pa.int32()), ("n", pa.int32()), ("crc", pa.int64())]))
+    n, at = pa.array([len(s) for s in streams], pa.int64()), pa.array(range(len(streams)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([at, at, n, pa.array(rows, kind)], ["doc_id", "start", "n_tokens", "chunks"])
+    list(token_store._documents(iter([batch])))  # tables are made once
+    cut = [batch.slice(3), batch.slice(0, 0)]
+    (got, empty), calls = python_calls(lambda: list(token_store._documents(iter(cut))))
+    assert got.column("ids_crc32").to_pylist() == [zlib.crc32(s.tobytes()) for s in streams[3:]] and empty.num_rows == 0 and calls < 300
+    rows[7] = [{"seq": 0, "n": None, "crc": None}]
+    for changed, what in ((pa.array(rows, kind), "not in the store"), (pa.array(rows[:7] + [rows[0]] + rows[8:], kind), "differ in length")):
+        with pytest.raises(ValueError, match=what):
+            list(token_store._documents(iter([batch.set_column(3, "chunks", changed)])))
+
+
+def test_marks_and_equal_neighbours():
+    ids = np.random.default_rng(3).integers(0, 70_000, 30_000).astype(np.uint32)
+    gear = np.random.default_rng(token_store._GEAR_SEED).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)[(ids & 0xFFFF) ^ (ids >> 16)]
+    for n in (0, 1, 2, 3, 15, 16, 17, 30_000):
+        h = np.zeros(n, np.uint64)
+        for k in range(min(n, token_store.SPAN)):
+            h[k:] += gear[: n - k] << np.uint64(k)
+        assert token_store.marks(ids[:n]).tolist() == (np.flatnonzero((h >> np.uint64(15)) & np.uint64(511) == 0) + 1).tolist()
+    rows = [("chunk", b"a"), ("chunk", b"a"), ("chunk", b"b"), ("chunk", b"b"), ("chunk", b"c"), ("recipe", b"c"), ("recipe", b"c"), ("recipe", b"d")]
+    for step in range(1, 9):
+        batches = [pa.RecordBatch.from_pylist([{"kind": k, "key": v} for k, v in rows[lo : lo + step]]) for lo in range(0, 8, step)]
+        got = [(x["kind"], x["key"]) for b in token_store._without_equal_neighbours(iter([batches[0].slice(0, 0), *batches])) for x in b.to_pylist()]
+        assert got == [rows[k] for k in (0, 2, 4, 5, 6, 7)]
+
+
 def test_elias_fano():
     r = np.random.default_rng(2)
     for n, universe in ((0, 10), (1, 1), (1, 1 << 50), (1000, 1000), (5000, 1 << 20), (3000, 1 << 51)):
